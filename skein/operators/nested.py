@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from skein.session import checkpoint
 
 #: Rows of one Arrow batch sent back to the JVM.
 BATCH_ROWS = 20_000
@@ -27,22 +30,34 @@ class Shredder:
     roots: paths of the envelopes in which the wanted object may stand; the first that fits is used. '' is the record
     itself, '[]' each element of a list, 'a[]' each element of the list at key a.
     maps: paths of objects whose keys are data, or of lists of objects that carry that key in a field: {path: key field}.
-    keep: path prefixes to emit; others are skipped unseen. None keeps all.
+    keep: paths to emit; one that ends in '*' also takes all below it. Others are skipped unseen. None keeps all.
+    bare: paths of which only the kind is wanted, not the value.
     embedded: paths of values that may be JSON in a string, once or twice.
+    carry: {column: path of keys}: scalars of the object that all its triples repeat.
     """
 
-    def __init__(self, roots: tuple[str, ...] = ("",), maps: dict[str, str] | None = None, keep: tuple[str, ...] | None = None, embedded: tuple[str, ...] = ()):
-        self.roots, self.maps, self.keep, self.embedded = roots, maps or {}, keep, frozenset(embedded)
-        self._near: dict[str, tuple[bool, bool]] = {}
+    def __init__(
+        self,
+        roots: tuple[str, ...] = ("",),
+        maps: dict[str, str] | None = None,
+        keep: tuple[str, ...] | None = None,
+        bare: tuple[str, ...] = (),
+        embedded: tuple[str, ...] = (),
+        carry: dict[str, str] | None = None,
+    ):
+        self.roots, self.maps, self.keep = roots, maps or {}, keep
+        self.bare, self.embedded, self.carry = frozenset(bare), frozenset(embedded), carry or {}
+        self._known: dict[str, tuple[bool, bool]] = {}
 
     def wanted(self, path: str) -> tuple[bool, bool]:
         """(emit it, look below it)."""
         if self.keep is None:
             return True, True
-        if path not in self._near:
-            emit = any(path == k or (path.startswith(k) and path[len(k)] in ".[{") for k in self.keep)
-            self._near[path] = emit, emit or any(path == "" or (k.startswith(path) and k[len(path) : len(path) + 1] in (".", "[", "{")) for k in self.keep)
-        return self._near[path]
+        if path not in self._known:
+            follows = lambda k, p: p == k or p.startswith(k) and (k == "" or p[len(k)] in ".[{")
+            deep = any(k.endswith("*") and follows(k[:-1], path) for k in self.keep)
+            self._known[path] = deep or path in self.keep, deep or any(follows(path, k.removesuffix("*")) and path != k for k in self.keep)
+        return self._known[path]
 
     def objects(self, record: object) -> Iterator[tuple[int, object]]:
         for root in self.roots:
@@ -51,7 +66,7 @@ class Shredder:
                 yield 0, record
                 return
             inner = record if key == "" else record.get(key) if isinstance(record, dict) else None
-            if root.endswith("[]") and isinstance(inner, dict) and key:
+            if root.endswith("[]") and key and isinstance(inner, dict):
                 inner = [inner]
             if root.endswith("[]") and isinstance(inner, list):
                 yield from enumerate(inner)
@@ -60,33 +75,45 @@ class Shredder:
                 yield 0, inner
                 return
 
-    def triples(self, record: object) -> Iterator[tuple[int, str, list[str], str, str | None, int]]:
-        """(root, path, ord, kind, value, seq) of each wanted event, in document order; an explicit stack, so that depth is unlimited."""
+    def triples(self, record: object) -> Iterator[tuple]:
+        """(carried..., root, path, ord, place, kind, value, seq) of each wanted event, in document order.
+
+        The walk keeps an explicit stack, so that depth is unlimited.
+        """
         for root, top in self.objects(record):
+            carried = [look_up(top, p) for p in self.carry.values()]
             seq = 0
-            stack: list[tuple[str, list[str], object]] = [("", [], top)]
+            stack: list[tuple[str, str, list[str], object]] = [("", "", [], top)]
             while stack:
-                path, ord_, value = stack.pop()
+                path, place, ord_, value = stack.pop()
                 emit, below = self.wanted(path)
                 if path in self.embedded:
                     value = unwrap(value)
                 kind = kind_of(value)
                 if emit:
-                    yield root, path, ord_, kind, scalar(value, kind), seq
+                    yield *carried, root, path, ord_, place, kind, None if path in self.bare else scalar(value, kind), seq
                     seq += 1
                 if not below:
                     continue
                 if path in self.maps and kind in ("object", "array"):
-                    field, inside = self.maps[path], path + "{}"
-                    if kind == "object":
-                        pairs = list(value.items())
-                    else:
-                        pairs = [(str(x[field]) if isinstance(x, dict) and x.get(field) is not None else str(i), x) for i, x in enumerate(value)]
-                    stack += [(inside, [*ord_, k], x) for k, x in reversed(pairs)]
+                    stack += [(path + "{}", f"{place}.{k}", [*ord_, k], x) for k, x in reversed(entries(value, self.maps[path]))]
                 elif kind == "object":
-                    stack += [(f"{path}.{k}" if path else k, ord_, x) for k, x in reversed(value.items())]
+                    stack += [(f"{path}.{k}" if path else k, f"{place}.{k}" if place else k, ord_, x) for k, x in reversed(value.items())]
                 elif kind == "array":
-                    stack += [(path + "[]", [*ord_, str(i)], x) for i, x in zip(range(len(value) - 1, -1, -1), reversed(value))]
+                    stack += [(path + "[]", f"{place}[{i}]", [*ord_, str(i)], x) for i, x in reversed(list(enumerate(value)))]
+
+
+def entries(value: dict | list, field: str) -> list[tuple[str, object]]:
+    """Keys and values of a map, or of a list whose elements carry their key in a field (else their place is the key)."""
+    if isinstance(value, dict):
+        return list(value.items())
+    return [(str(x[field]) if isinstance(x, dict) and x.get(field) is not None else str(i), x) for i, x in enumerate(value)]
+
+
+def look_up(value: object, path: str) -> str | None:
+    for key in path.split("."):
+        value = value.get(key) if isinstance(value, dict) else None
+    return scalar(value, kind_of(value)) if not isinstance(value, (dict, list)) else None
 
 
 def kind_of(value: object) -> str:
@@ -127,18 +154,16 @@ def parse(text: str) -> object:
     return json.loads(text.removeprefix("﻿"))
 
 
-TRIPLE = "root INT, path STRING, ord ARRAY<STRING>, kind STRING, value STRING, seq INT"
+TRIPLE = "root INT, path STRING, ord ARRAY<STRING>, place STRING, kind STRING, value STRING, seq INT"
 
 
 def shred(df: DataFrame, cell: str, keys: list[str], shredder: Shredder) -> DataFrame:
-    """Triples of the JSON column ``cell``: the key columns, then root, path, ord, kind, value, seq.
+    """Triples of the JSON column ``cell``: the key columns, the carried ones, then root, path, ord, place, kind, value, seq.
 
     path has '[]' for the places of a list and '{}' for the keys of a map; ord holds those places and keys, outermost
-    first. Cells that are null, empty or don't parse give no rows. Extra columns of ``df`` are not carried along.
+    first; place is the path with them filled in. Cells that are null, empty or don't parse give no rows. Extra columns of ``df`` are not carried along.
     """
-    schema = T.StructType([*(df.schema[k] for k in keys), *T._parse_datatype_string(TRIPLE).fields])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+    schema = T.StructType([*(df.schema[k] for k in keys), *(T.StructField(c, T.StringType()) for c in shredder.carry), *T.StructType.fromDDL(TRIPLE).fields])
     arrow = to_arrow_schema(schema)
     n = len(keys)
 
@@ -185,51 +210,89 @@ def pivot(triples: DataFrame, keys: list[str], ancestor: str, fields: dict[str,
     ).where("kind is not null")
 
 
-def concrete_path(path: str) -> str:
-    """SQL of the path with its places filled in: keys joined by '.', list places as [i]; below the embedded value ``path``."""
-    return path
-
-
-CHATGPT = Shredder(roots=("conversations[]", "[]", ""), maps={"mapping": "id"}, keep=("id", "title", "create_time", "mapping{}"))
-CODEX = Shredder(keep=("type", "payload.type", "payload.turn_id", "payload.call_id", "payload.content", "payload.arguments", "payload.output"), embedded=("payload.arguments",))
-
-
-def chatgpt_tables(exports: DataFrame) -> dict[str, DataFrame]:
-    """conversations, nodes, children and parts of ChatGPT exports; each row has the keys of its parents.
+CHATGPT = Shredder(
+    roots=("conversations[]", "[]", ""),
+    maps={"mapping": "id"},
+    keep=("id", "mapping{}", "mapping{}.parent", "mapping{}.children[]", "mapping{}.message.author.role", "mapping{}.message.content.content_type", "mapping{}.message.content.parts", "mapping{}.message.content.parts[]"),
+)
+#: As above, for the links alone: no text of parts is carried along.
+CHATGPT_LINKS = Shredder(
+    CHATGPT.roots,
+    CHATGPT.maps,
+    keep=("id", "mapping{}", "mapping{}.parent", "mapping{}.children[]", "mapping{}.message.content.parts", "mapping{}.message.content.parts[]"),
+    bare=("mapping{}.message.content.parts", "mapping{}.message.content.parts[]"),
+)
+CODEX = Shredder(
+    keep=("payload.content", "payload.content[]", "payload.content[].type", "payload.content[].text", "payload.arguments*"),
+    embedded=("payload.arguments",),
+    carry={"call_id": "payload.call_id", "turn_id": "payload.turn_id"},
+)
+CODEX_LINKS = Shredder(
+    keep=("payload.content", "payload.content[]", "payload.content[].type", "payload.arguments*"),
+    bare=("payload.content", "payload.content[]"),
+    embedded=("payload.arguments",),
+    carry={"call_id": "payload.call_id"},
+)
+
+
+def chatgpt_tables(exports: DataFrame, shredder: Shredder = CHATGPT) -> dict[str, DataFrame]:
+    """nodes and parts of ChatGPT exports; each row has rec_id, version (a hash of the payload), root (the conversation's place
+    in its envelope) and the keys of its parents.
 
     nodes has parent_key: the node named in ``parent`` if the mapping holds it, else the first node that lists it in
-    ``children``, else the conversation's id (empty if it has none).
+    ``children``, else the conversation's id (empty if it has none). An export delivered twice gives its rows once.
     """
-    # two payloads under one rec_id stay apart by their hash
-    keys = ["rec_id", "version"]
-    source = exports.withColumn("version", F.xxhash64("payload")).select("rec_id", "version", "payload")
-    keep = ("id", "mapping{}.id", "mapping{}.parent", "mapping{}.children", "mapping{}.message.author.role", "mapping{}.message.content.parts", "mapping{}.message.create_time")
-    triples = shred(source, "payload", keys, Shredder(CHATGPT.roots, CHATGPT.maps, ("id", "mapping{}", *keep)[:1] + ("mapping",)))
-    return chatgpt_from_triples(triples, keys)
-
-
-def chatgpt_from_triples(triples: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
-    own = [*keys, "root"]
-    conversations = triples.where("path = 'id'").groupBy(*own).agg(F.max("value").alias("conversation_id"))
-    raw = pivot(triples, keys, "mapping{}", {"parent": "parent", "role": "message.author.role", "content_type": "message.content.content_type"})
-    nodes = raw.select(*own, F.col("ord")[0].alias("node_id"), "parent", "role", "content_type", "seq")
-    listed = triples.where("path = 'mapping{}.children[]' and kind = 'string'")
-    children = listed.groupBy(*own, F.col("value").alias("node_id")).agg(F.min_by(F.col("ord")[0], "seq").alias("listed_by"))
-    named = nodes.select(*own, F.col("node_id").alias("parent"), F.lit(True).alias("held"))
-    linked = nodes.join(named, [*own, "parent"], "left").join(children, [*own, "node_id"], "left").join(conversations, own, "left")
-    parent = F.coalesce(F.when("held", F.col("parent")), "listed_by", "conversation_id", F.lit(""))
+    own = ["rec_id", "version", "root"]
+    source = exports.select("rec_id", F.xxhash64("payload").alias("version"), "payload")
+    triples = checkpoint(shred(source, "payload", own[:2], shredder))
+    # what a node says of itself and what other nodes say of it meet under its key, in one pass
+    is_child = F.col("path") == "mapping{}.children[]"
+    about = triples.where(F.col("path").isin("mapping{}", "mapping{}.parent", "mapping{}.message.author.role") | (is_child & (F.col("kind") == "string")))
+    value = lambda path: F.max(F.when(F.col("path") == path, F.col("value")))
+    nodes = (
+        about.groupBy(*own, F.when(is_child, F.col("value")).otherwise(F.col("ord")[0]).alias("node_id"))
+        .agg(
+            F.bool_or(F.col("path") == "mapping{}").alias("held"),
+            F.min(F.when(F.col("path") == "mapping{}", F.col("seq"))).alias("seq"),
+            value("mapping{}.parent").alias("parent"),
+            value("mapping{}.message.author.role").alias("role"),
+            F.min_by(F.when(is_child, F.col("ord")[0]), F.when(is_child, F.col("seq"))).alias("listed_by"),
+        )
+        .where("held")
+        .drop("held")
+    )
+    ids = triples.where("path = 'id'").groupBy(*own).agg(F.max("value").alias("conversation_id"))
+    held = nodes.select(*own, F.col("node_id").alias("parent"), F.lit(True).alias("held"))
+    linked = nodes.join(held, [*own, "parent"], "left").join(ids, own, "left")
+    parent = F.coalesce(F.when(F.col("held"), F.col("parent")), "listed_by", "conversation_id", F.lit(""))
     places = triples.where("path = 'mapping{}.message.content.parts[]' or (path = 'mapping{}.message.content.parts' and kind = 'string')")
-    parts = places.select(*own, F.col("ord")[0].alias("node_id"), F.coalesce(F.get("ord", F.lit(1)), F.lit("0")).alias("place"), "kind", F.when(F.col("kind") == "string", F.col("value")).alias("text"))
-    return {"conversations": conversations, "nodes": linked.withColumn("parent_key", F.when(F.lit(True), parent)).drop("held"), "children": children, "parts": parts}
-
-
-def chatgpt_links(exports: DataFrame) -> DataFrame:
-    """(origin, rec_id, kind, parent_key, child_key) of ChatGPT exports."""
-    keys = ["rec_id", "version"]
-    source = exports.withColumn("version", F.xxhash64("payload")).select(*keys, "payload")
-    wanted = ("id", "mapping{}.parent", "mapping{}.children", "mapping{}.message.content.parts")
-    triples = shred(source, "payload", keys, _LinkShredder(CHATGPT.roots, CHATGPT.maps, wanted))
-    tables = chatgpt_from_triples(triples, keys)
-    nodes = tables["nodes"].select("rec_id", F.lit("node").alias("kind"), "parent_key", F.col("node_id").alias("child_key"))
-    parts = tables["parts"].select("rec_id", F.lit("part").alias("kind"), F.col("node_id").alias("parent_key"), F.col("place").alias("child_key"))
-    return nodes.unionByName(parts).select(F.lit("chatgpt").alias("origin"), "rec_id", "kind", "parent_key", "child_key")
+    parts = places.select(*own, F.col("ord")[0].alias("node_id"), F.coalesce(F.get("ord", F.lit(1)), F.lit("0")).alias("place"), "kind", "value")
+    return {"nodes": linked.select(*own, "conversation_id", "node_id", parent.alias("parent_key"), "role", "seq"), "parts": parts.distinct()}
+
+
+def codex_tables(lines: DataFrame, shredder: Shredder = CODEX) -> dict[str, DataFrame]:
+    """blocks and arguments of Codex lines, with rec_id, line_no and the keys of their parents."""
+    keys = ["rec_id", "line_no"]
+    triples = checkpoint(shred(lines.select(*keys, "line"), "line", keys, shredder))
+    content = triples.withColumn("ord", F.when(F.col("path") == "payload.content", F.array(F.lit("0"))).otherwise(F.col("ord")))
+    content = content.where("path != 'payload.content' or kind = 'string'")
+    content = content.withColumn("path", F.when(F.col("path") == "payload.content", "payload.content[]").otherwise(F.col("path")))
+    blocks = pivot(content, keys, "payload.content[]", {"type": "type", "text": "text"})
+    blocks = blocks.select(*keys, F.col("ord")[0].alias("place"), F.coalesce("type", F.lit("")).alias("type"), F.coalesce("text", F.when(F.col("kind") == "string", F.col("value"))).alias("text"))
+    leaf = triples.where("path like 'payload.arguments%' and (kind not in ('object', 'array') or value = '0') and not (path = 'payload.arguments' and kind = 'null')")
+    name = F.regexp_replace("place", r"^payload\.arguments\.?", "")
+    return {"blocks": blocks, "arguments": leaf.select(*keys, F.coalesce("call_id", F.lit("")).alias("call_id"), name.alias("name"), "kind", "value").distinct()}
+
+
+def nested_links(exports: DataFrame, lines: DataFrame) -> DataFrame:
+    """(origin, rec_id, kind, parent_key, child_key): the distinct parent-child links of readable rows of both tables."""
+    chat, codex = chatgpt_tables(exports, CHATGPT_LINKS), codex_tables(lines, CODEX_LINKS)
+
+    def link(df: DataFrame, origin: str, kind: str, parent: str, child: str) -> DataFrame:
+        return df.select(F.lit(origin).alias("origin"), "rec_id", F.lit(kind).alias("kind"), F.expr(parent).alias("parent_key"), F.expr(child).alias("child_key"))
+
+    nodes = link(chat["nodes"], "chatgpt", "node", "parent_key", "node_id")
+    parts = link(chat["parts"], "chatgpt", "part", "node_id", "place")
+    blocks = link(codex["blocks"], "codex", "block", "string(line_no)", "concat(place, ':', type)")
+    leaves = link(codex["arguments"], "codex", "argument", "call_id", "name")
+    return nodes.unionByName(parts).unionByName(blocks).unionByName(leaves).distinct()
