@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,9 +42,27 @@ def tuned(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, unless their path has it already; once an application."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    on_path = {Path(p).resolve() for p in (os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep))}
+    if root in on_path or root.suffix == ".zip" or getattr(context, "_skein_shipped", False):
+        return
+    # only the driver reads this file; Spark hands it out from there
+    archive = Path(tempfile.mkdtemp(prefix="skein-"), "skein.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted((root / "skein").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    context._skein_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data folder (a file or a directory of files)."""
     return tuned(spark).read.parquet(f"{folder}/{name}.parquet")
