@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import canonical, components, leakage
+from skein.llm import canonical, components, leakage, replies
 from skein.session import table
 
 
@@ -13,6 +13,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.all_groups(table(spark, folder, "merge_map"), table(spark, folder, "extracted_relationships"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Broken conversations and unanswered Codex turns."""
+    return replies.dropped(*(table(spark, folder, t) for t in ("messages", "conversations", "codex_lines")))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of held-out items."""
     return leakage.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).select("doc_id", "item_id")
@@ -23,5 +28,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p8_found": p8_found, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
 SQL: dict[str, str] = {}
