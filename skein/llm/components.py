@@ -3,9 +3,10 @@
 The component of the vertex of highest degree is peeled first: breadth-first joins from that vertex, frontier by
 frontier, while frontiers are wide. Its vertices are anti-joined away; what is left of it (thin tails, if the walk
 stopped early) meets the peeled part in one contracted vertex. The small components that remain are labelled by minimum
-propagation with shortcuts (each vertex points to the least vertex near it, and pointers are followed in doubling steps),
-so a chain of n links takes about log n rounds. No component or link list is ever brought to the driver; rounds cut their
-lineage with reliable checkpoints.
+propagation: in each round every vertex takes the least vertex near it, follows that pointer four steps, and the pairs
+are contracted to what they point to. Vertices are compared by a hash, so that ids in the order of a chain don't slow it
+down, and a chain of n links takes about log n rounds. No component or link list is ever brought to the driver; rounds
+cut their lineage with reliable checkpoints.
 """
 
 from __future__ import annotations
@@ -15,10 +16,9 @@ from pyspark.sql import functions as F
 
 from skein.session import checkpoint
 
-#: The walk from the hub goes on while a frontier holds at least this share of what the walk has reached ...
-WIDE = 0.05
-#: ... and for at most so many rounds; both only shift work to the propagation, and no result depends on them.
-MAX_FRONTIERS = 20
+#: The walk from the hub goes on while a frontier holds at least this share of what the walk has reached, and for at most
+#: so many rounds; both only shift work to the propagation, and no result depends on them.
+WIDE, MAX_FRONTIERS = 0.2, 20
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -43,15 +43,13 @@ def peel(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not top:
         return pairs.select(F.col("a").alias("v"), F.col("a").alias("root")), pairs
     hub = top[0]["a"]
-    reached = pairs.sparkSession.createDataFrame([(hub,)], "v STRING")
-    frontier, total = reached, 1
+    reached = frontier = pairs.sparkSession.createDataFrame([(hub,)], "v STRING")
+    total = 1
     for _ in range(MAX_FRONTIERS):
         near = links.join(frontier, links.a == frontier.v, "left_semi").select(F.col("b").alias("v")).distinct()
         frontier = checkpoint(near.join(reached, "v", "left_anti"))
         wide = frontier.count()
-        if not wide:
-            break
-        reached = checkpoint(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
         total += wide
         if wide < WIDE * total:
             break
@@ -65,33 +63,26 @@ def peel(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def propagate(pairs: DataFrame) -> DataFrame:
-    """(v, root): the least vertex of the component of each vertex of ``pairs`` (a < b, distinct)."""
-    labels = None
-    while True:
+    """(v, root): one vertex of its component for each vertex of ``pairs`` (a, b distinct, a != b), the same for all of it."""
+    order = F.xxhash64
+    steps = []
+    while not pairs.isEmpty():
         links = _both_ways(pairs)
-        # hook: everyone points to the least vertex near it, itself included
-        pointer = links.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("p"))
+        least = links.groupBy(F.col("a").alias("v")).agg(F.min(F.struct(order("b").alias("h"), "b")).alias("m"))
+        own = F.struct(order("v").alias("h"), F.col("v").alias("b"))
+        pointer = least.select("v", F.least("m", own)["b"].alias("p"))
+        for _ in range(2):
+            # following pointers twice, then four times; one that isn't at its end yet is followed on in the next round
+            pointer = pointer.alias("x").join(pointer.alias("y"), F.col("x.p") == F.col("y.v")).select("x.v", F.col("y.p").alias("p"))
         pointer = checkpoint(pointer)
-        while True:
-            # shortcut: pointers only ever go down, so following them twice at a time ends at a root
-            step = pointer.alias("x").join(pointer.alias("y"), F.col("x.p") == F.col("y.v")).select("x.v", F.col("y.p").alias("p"), (F.col("x.p") != F.col("y.p")).alias("moved"))
-            step = checkpoint(step)
-            moved = step.agg(F.bool_or("moved")).head()[0]
-            pointer = step.select("v", "p")
-            if not moved:
-                break
-        if labels is None:
-            labels = pointer
-        else:
-            names = pointer.select(F.col("v").alias("root"), "p")
-            labels = checkpoint(labels.join(names, "root", "left").select("v", F.coalesce("p", "root").alias("root")).toDF("v", "p"))
-        labels = labels.toDF("v", "root")
-        # contract: components that are one root have no pair left
+        steps.append(pointer)
         a, b = (pointer.select(F.col("v").alias(x), F.col("p").alias(f"p{x}")) for x in "ab")
         ends = pairs.join(a, "a").join(b, "b")
         pairs = checkpoint(ends.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a != b").distinct())
-        if pairs.isEmpty():
-            return labels
+    labels = steps[0].toDF("v", "root")
+    for step in steps[1:]:
+        labels = labels.join(step.toDF("root", "p"), "root", "left").select("v", F.coalesce("p", "root").alias("root"))
+    return labels
 
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -107,31 +98,33 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     if left.isEmpty():
         roots = giant
     else:
-        small = propagate(left)
+        small = checkpoint(propagate(left))
         # the contracted vertex passes its label on to all that the walk reached
         of_hub = small.select(F.col("v").alias("root"), F.col("root").alias("label"))
         named = giant.join(of_hub, "root", "left").select("v", F.coalesce("label", "root").alias("root"))
         roots = named.unionByName(small.join(giant, "v", "left_anti"))
-    roots = checkpoint(roots)
-    # the hub need not be its component's least member
+    # the root is any member; the group is named by its least
     least = roots.groupBy("root").agg(F.min("v").alias("group_key"))
     return roots.join(least, "root").select(F.col("v").alias("member_key"), "group_key")
 
 
-def merge_groups(merge_map: DataFrame) -> DataFrame:
-    """(group_key, member_key) of entity ids merged directly or indirectly."""
-    return components(merge_map, "merged_id", "canonical_id").select("group_key", "member_key")
-
-
-def same_as_groups(relationships: DataFrame) -> DataFrame:
-    """(group_key, member_key) of names, trimmed and in lower case, linked by SAME_AS rows of any letter case."""
-    own = relationships.where(F.upper(F.trim("predicate")) == "SAME_AS")
-    name = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    return components(own.select(name("subject").alias("subject"), name("object").alias("object")), "subject", "object").select("group_key", "member_key")
+KINDS = {"merge": "m", "name": "n"}
 
 
 def all_groups(merge_map: DataFrame, relationships: DataFrame) -> DataFrame:
-    """(kind, group_key, member_key): a row for each member but the group's least one, after which the group is named."""
-    merged = merge_groups(merge_map).select(F.lit("merge").alias("kind"), "group_key", "member_key")
-    named = same_as_groups(relationships).select(F.lit("name").alias("kind"), "group_key", "member_key")
-    return merged.unionByName(named).where("group_key != member_key")
+    """(kind, group_key, member_key): entity ids merged directly or indirectly (kind merge), and names linked by SAME_AS rows
+    of any letter case, trimmed and in lower case (kind name).
+
+    A row for each member but the group's least one, after which the group is named. Both kinds are one graph, their
+    vertices told apart by a first letter.
+    """
+    name = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    same = relationships.where(F.upper(F.trim("predicate")) == "SAME_AS").select(name("subject").alias("x"), name("object").alias("y"))
+    merged = merge_map.select(F.col("merged_id").alias("x"), F.col("canonical_id").alias("y"))
+    marked = None
+    for pairs, letter in ((merged, KINDS["merge"]), (same, KINDS["name"])):
+        part = pairs.select(*(F.when(F.col(c) != "", F.concat(F.lit(letter), c)).alias(c) for c in "xy"))
+        marked = part if marked is None else marked.unionByName(part)
+    grouped = components(marked, "x", "y").where("group_key != member_key")
+    kind = F.when(F.col("group_key").startswith(KINDS["merge"]), "merge").otherwise("name")
+    return grouped.select(kind.alias("kind"), F.substring("group_key", 2, 1 << 30).alias("group_key"), F.substring("member_key", 2, 1 << 30).alias("member_key"))
