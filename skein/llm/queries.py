@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skein.llm import canonical, components, leakage, replies
+from skein.llm import canonical, components, leakage, mixing, replies, splitting
 from skein.session import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Oversized values, and whether they can be cut at white space."""
+    pieces = splitting.oversized(table(spark, folder, "messages"), table(spark, folder, "conversations"), with_text=False)
+    return pieces.where("pieces > 1").select("origin", "item_key", F.col("nospace").cast("int").alias("nospace")).distinct()
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of merged entities and of names that are the same."""
     return components.all_groups(table(spark, folder, "merge_map"), table(spark, folder, "extracted_relationships"))
@@ -23,10 +30,15 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).select("doc_id", "item_id")
 
 
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix of sources by target shares."""
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of documents that look the same but differ as stored."""
     return canonical.look_alike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
 SQL: dict[str, str] = {}
