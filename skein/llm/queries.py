@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import canonical, components, leakage, mixing, replies, splitting
+from skein.llm import canonical, components, leakage, mixing, names, replies, splitting
 from skein.session import table
 
 
@@ -20,6 +20,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.all_groups(table(spark, folder, "merge_map"), table(spark, folder, "extracted_relationships"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of entities whose names mean the same person or organisation."""
+    columns = ["id", "entity_type", "name", "aliases"]
+    both = table(spark, folder, "entities").select(*columns).unionByName(table(spark, folder, "extracted_entities").select(*columns))
+    return names.same_pairs(both, table(spark, folder, "name_lexicon"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Broken conversations and unanswered Codex turns."""
     return replies.dropped(*(table(spark, folder, t) for t in ("messages", "conversations", "codex_lines")))
@@ -40,5 +47,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
 SQL: dict[str, str] = {}
