@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import canonical, components, leakage, mixing, names, replies, splitting
+from skein.llm import canonical, components, leakage, mixing, names, privacy, replies, splitting
 from skein.session import table
 
 
@@ -15,6 +15,11 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("pieces > 1").select("origin", "item_key", F.col("nospace").cast("int").alias("nospace")).distinct()
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Mentions of personal information in messages and Codex lines."""
+    return privacy.all_mentions(*(table(spark, folder, t) for t in ("messages", "codex_lines", "name_lexicon")))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of merged entities and of names that are the same."""
     return components.all_groups(table(spark, folder, "merge_map"), table(spark, folder, "extracted_relationships"))
@@ -47,5 +52,5 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
 SQL: dict[str, str] = {}
