@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.guards import once
 from skein.functions.text import body, front_matter, tokens
 
 K1, B = 1.5, 0.75
@@ -52,18 +53,44 @@ def _weights(terms: list[str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
 
 
-def bm25(posted: DataFrame, query: str, documents: int, key: str = "doc_id") -> DataFrame:
-    """(key, score) of the documents that hold a term of the query. A query without terms gives no rows."""
-    terms = query_terms(query)
-    hits = posted.where(F.col("term").isin(terms or [""]))
-    idf = inverse_frequency(hits, documents).select("term", "idf")
-    size = lengths(posted, key)
-    average = size.agg(F.avg("dl").alias("avg_dl"))
-    scored = hits.join(idf, "term").join(size, key).crossJoin(F.broadcast(average))  # average is one row
-    raw = F.col("tf") * F.col("dl")
-    part = F.col("idf") * raw * (K1 + 1) / (raw + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    times = F.element_at(_weights(terms or [""]), F.col("term"))
-    return scored.groupBy(key).agg(F.sum(part * times).alias("score")).where("score > 0")
+def _equals(term: str):
+    return lambda x: x == term
+
+
+def profile(documents: DataFrame, terms: list[str], key: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(key, dl, counts): length as the index keeps it and how often each of ``terms`` comes, row by row, without a shuffle.
+
+    Documents without terms have no row.
+    """
+    split = documents.select(key, once(F.sort_array(tokens(F.col("text") if text is None else text))).alias("ts")).where(F.size("ts") > 0)
+    state = F.struct(F.lit("").alias("at"), F.lit(0).alias("run"), F.lit(2**31 - 1).alias("least"))
+    # the sorted terms in runs: the least frequent one tells the length
+    close = lambda s: F.when(s["run"] > 0, F.least(s["least"], s["run"])).otherwise(s["least"])
+    step = lambda s, t: F.when(s["at"] == t, F.struct(s["at"].alias("at"), (s["run"] + 1).alias("run"), s["least"].alias("least"))).otherwise(F.struct(t.alias("at"), F.lit(1).alias("run"), close(s).alias("least")))
+    least = F.aggregate("ts", state, step, close)
+    counts = F.array(*(F.size(F.filter("ts", _equals(t))) for t in terms)) if terms else F.array().cast("array<int>")
+    return split.select(key, F.rint(F.size("ts") / least).cast("bigint").alias("dl"), counts.alias("counts"), F.size("ts").alias("total"))
+
+
+def bm25(documents: DataFrame, query: str, key: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(key, score) of the documents that hold a term of the query; a term that the query repeats counts as often.
+
+    A query without terms gives no rows. Two scans of the documents, the first for the counts of documents, terms and
+    lengths; nothing but one row is shuffled.
+    """
+    asked = query_terms(query)
+    terms = list(dict.fromkeys(asked))
+    own = profile(documents, terms, key, text)
+    held = [F.count_if(F.col("counts")[i] > 0).alias(f"df{i}") for i in range(len(terms))]
+    whole = own.agg(F.avg("dl").alias("avg_dl"), *held)
+    every = documents.agg(F.count("*").alias("n_docs"))
+    scored = own.where(F.exists("counts", lambda c: c > 0)).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(every))  # one row each
+    score = F.lit(0.0)
+    for i, t in enumerate(terms):
+        raw = F.col("counts")[i] / F.col("total") * F.col("dl")
+        idf = F.log((1 + F.col("n_docs")) / (1 + F.col(f"df{i}"))) + 1
+        score = score + asked.count(t) * F.when(raw > 0, idf * raw * (K1 + 1) / (raw + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))).otherwise(0.0)
+    return scored.select(key, score.alias("score")).where("score > 0")
 
 
 def tfidf_cosine(posted: DataFrame, query: str, documents: int, key: str = "doc_id") -> DataFrame:

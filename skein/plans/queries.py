@@ -207,7 +207,7 @@ _BM25 = f"{_IDF}, {_Q}, dl AS (SELECT doc_id, round_even(1 / min(tf), 0) AS dl F
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def bm25_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents by BM25."""
-    scored = index.bm25(_posted(spark, folder), QUERY, table(spark, folder, "documents").count())
+    scored = index.bm25(table(spark, folder, "documents"), QUERY)
     return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -234,7 +234,7 @@ def vector_top(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_BM25}, v AS (SELECT vec_id AS doc_id, 1 / (2 - similarity) AS close FROM ({_NEAR}) ORDER BY round(similarity, 9) DESC, vec_id LIMIT 30), f AS (SELECT coalesce(bm.doc_id, v.doc_id) AS doc_id, coalesce(score / (SELECT max(score) FROM bm), 0) * 0.7 + coalesce(close / (SELECT max(close) FROM v), 0) * 0.3 AS s FROM bm FULL JOIN v ON bm.doc_id = v.doc_id) SELECT doc_id, round(s, 5) AS score FROM f ORDER BY round(s, 8) DESC, doc_id LIMIT 10")
 def hybrid_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents by lexical and vector scores together; a vector belongs to the document of its number."""
-    lexical = index.bm25(_posted(spark, folder), QUERY, table(spark, folder, "documents").count())
+    lexical = index.bm25(table(spark, folder, "documents"), QUERY)
     near = index.nearest(table(spark, folder, "embeddings"), _vector(spark, folder), 30).withColumnRenamed("vec_id", "doc_id")
     return index.fuse(lexical, near, 10).select("doc_id", F.round("score", 5).alias("score"))
 
