@@ -161,7 +161,7 @@ def _resolve(uses: DataFrame, edges: DataFrame, right: DataFrame, given: set[str
     full = uses.where("kind = 'full'").groupBy("type", "stem", "rest").agg(F.sum("n").alias("n"))
     full = full.join(wrong, ["type", "rest"], "left").join(nicknames.select("type", "rest", F.lit(True).alias("nick")).distinct(), ["type", "rest"], "left")
     full = full.withColumn("sound", is_given | (F.col("wrong").isNull() & F.col("nick").isNull()))
-    sound = full.where("sound").select("type", "stem", F.col("rest").alias("full"), F.col("n").alias("full_n"))
+    sound = checkpoint(full.where("sound").select("type", "stem", F.col("rest").alias("full"), F.col("n").alias("full_n")))
     asked = uses.select("type", "stem", "rest", "kind", "n").where(~((F.col("kind") == "full") & is_given & (F.col("type") == "person")))
     # initials, cut-off names and shortened words: those that begin with the same letter
     by_letter = asked.withColumn("letter", F.substring("rest", 1, 1)).join(sound.withColumn("letter", F.substring("full", 1, 1)), ["type", "stem", "letter"])
@@ -177,7 +177,7 @@ def _resolve(uses: DataFrame, edges: DataFrame, right: DataFrame, given: set[str
     found = found.unionByName(misspelt.join(sound, ["type", "stem", "full"]).where("full_n >= n").select("type", "stem", "rest", "kind", "full"))
     # a stem alone stands for the only full name it has
     alone = asked.where("kind = 'none'").join(sound, ["type", "stem"]).select("type", "stem", "rest", "kind", "full")
-    found = found.unionByName(alone).where("rest != full").distinct()
+    found = checkpoint(found.unionByName(alone).where("rest != full").distinct())
     # a full form that is itself short for another one doesn't count beside that one
     lesser = found.where("kind = 'full'").select("type", "stem", F.col("rest").alias("full")).distinct()
     found = found.join(lesser, ["type", "stem", "full"], "left_anti")
