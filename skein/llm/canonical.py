@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from skein.session import checkpoint
+
 # Letters of other scripts that look like Latin ones.
 LOOK_ALIKES = dict(zip(
     "АВЕКМНОРСТУХЅІЈԚԜ" "асеорхуѕіјһԁԛԝӏ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ονϲϳ" "օսհ" "ɡ",
@@ -227,8 +229,8 @@ def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "t
 
     Documents of one class_key look the same. Null texts are in no class and give no row.
     """
-    forms = canonical(documents.where(F.col(text).isNotNull()).select(key, F.sha2(text, 256).alias("text_key"), text), text, "form", [key, "text_key"])
-    return forms.select(key, F.sha2("form", 256).alias("class_key"), "text_key")
+    forms = canonical(documents.where(F.col(text).isNotNull()).select(key, F.unhex(F.sha2(text, 256)).alias("text_key"), text), text, "form", [key, "text_key"])
+    return forms.select(key, F.unhex(F.sha2("form", 256)).alias("class_key"), "text_key")
 
 
 def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,7 +239,8 @@ def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "tex
     Classes of one stored text, however many copies it has, are dropped before any join, by counting per text and then
     per class; so the join holds just the rows that have a partner.
     """
-    rows = look_alike_classes(documents, key, text).distinct()
+    # the texts are read once; what is kept of them is three short columns
+    rows = checkpoint(look_alike_classes(documents, key, text)).distinct()
     mixed = rows.groupBy("class_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low != high").select("class_key")
     own = rows.join(mixed, "class_key", "left_semi")
     a, b = (own.select("class_key", F.col("text_key").alias(f"text_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
