@@ -45,16 +45,20 @@ def candidates(text: str, limit: int, overlap: int) -> tuple[np.ndarray, np.ndar
     penalty.append(0.0)
     ends = np.array([0, *place])
     reach = limit - overlap
+    step = max(1, min(HARD_STEP, reach // 4))
     for a, b in zip(ends[:-1][np.diff(ends) > reach], ends[1:][np.diff(ends) > reach]):
-        for p in range(int(a) + HARD_STEP, int(b), HARD_STEP):
-            while p > a + 1 and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍"):
-                p -= 1
-            place.append(p)
+        for p in range(int(a) + step, int(b), step):
+            # not inside a written sign, unless it is longer than a step
+            place.append(next((q for q in range(p, p - step, -1) if q > a and not _inside(text, q)), p))
             penalty.append(PENALTY["hard"])
     at, first = np.unique(np.array(place), return_index=True)
     return at, np.array(penalty)[first]
 
 
+def _inside(text: str, at: int) -> bool:
+    return bool(unicodedata.combining(text[at])) or text[at] in "\u200d\ufe0f" or text[at - 1] == "\u200d"
+
+
 def overlap_starts(text: str, at: np.ndarray, overlap: int) -> np.ndarray:
     """Where the piece after each cut begins: ``overlap`` characters before it, or up to SLACK fewer to begin with a word."""
     starts = np.maximum(at - overlap, 0)
