@@ -53,4 +53,14 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
-SQL: dict[str, str] = {}
+_SPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
+_LONG = "SELECT DISTINCT '{origin}' AS origin, id AS item_key, CASE WHEN list_max(list_transform(regexp_split_to_array({text}, '{space}'), lambda x: length(x))) > 2000 THEN 1 ELSE 0 END AS nospace FROM {table} WHERE length({text}) > 2000"
+_PAIRS = (
+    "p(kind, a, b) AS (SELECT 'merge', merged_id, canonical_id FROM merge_map UNION ALL SELECT 'name', lower(regexp_replace(subject, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')), lower(regexp_replace(object, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) FROM extracted_relationships WHERE upper(trim(predicate)) = 'SAME_AS'), "
+    "e AS (SELECT kind, a, b FROM p WHERE a <> '' AND b <> '' AND a <> b UNION SELECT kind, b, a FROM p WHERE a <> '' AND b <> '' AND a <> b)"
+)
+#: SQL where it can express a query over whole tables in time; the others are tested against brute force.
+SQL: dict[str, str] = {
+    "p2_found": _LONG.format(origin="message", text="content", table="messages", space=_SPACE) + " UNION ALL " + _LONG.format(origin="summary", text="summary", table="conversations", space=_SPACE),
+    "p4_found": f"WITH RECURSIVE {_PAIRS}, r(kind, v, root) AS (SELECT kind, a, a FROM e UNION SELECT e.kind, e.b, r.root FROM r JOIN e ON e.kind = r.kind AND e.a = r.v) SELECT kind, min(root) AS group_key, v AS member_key FROM r GROUP BY kind, v HAVING min(root) <> v",
+}
