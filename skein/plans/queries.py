@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions.jsons import readable
-from skein.operators import graph, index, topics
+from skein.operators import graph, index, similar, topics
 from skein.plans.blocks import last_known
 from skein.session import table
 from skein.vocab import CONCEPT_PATTERNS, DOMAINS, EVENT_TYPES, NEGATIONS, NOTE_FOLDERS, REPLACING, STOP_WORDS, TOOLS, TOPICS
@@ -398,6 +398,15 @@ def confidence_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return graph.percentiles(table(spark, folder, "extracted_entities"), "confidence", [0.5, 0.9, 0.95])
 
 
+@query()
+def superseded_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions and action items that a later one replaces, in the order of their conversations' latest export."""
+    found = topics.concepts(topics.deliveries(table(spark, folder, "messages"))).where("concept_type in ('decision', 'action_item')")
+    dates = table(spark, folder, "conversations").groupBy(F.col("id").alias("conversation_id")).agg(F.unix_micros(F.max("updated_at")).alias("at"))
+    own = found.join(dates, "conversation_id", "left").select(T.short_id(F.col("conversation_id"), F.col("concept_type"), F.lower("content")).alias("id"), F.col("concept_type").alias("type"), F.col("content").alias("text"), "at")
+    return similar.superseded(own)
+
+
 # Events as calendar days and sessions
 
 
