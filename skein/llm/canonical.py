@@ -18,6 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,7 +187,7 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_POINTS characters; a longer text is a range of its own."""
     if not len(texts):
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.utf8_length(texts), 0))
+    sizes = np.asarray(pc.fill_null(pc.utf8_length(texts), 0))
     ends = np.cumsum(sizes)
     at = 0
     while at < len(texts):
@@ -201,8 +202,8 @@ def canonical_array(texts: pa.Array) -> pa.Array:
     chunks = [pa.array([], pa.large_string())]
     for a, b in slices(texts):
         part = texts.slice(a, b - a)
-        form = from_points(*canonical_points(*to_points(pa.compute.fill_null(part, ""))))
-        chunks.append(pa.compute.if_else(part.is_null(), pa.scalar(None, pa.large_string()), form) if part.null_count else form)
+        form = from_points(*canonical_points(*to_points(pc.fill_null(part, ""))))
+        chunks.append(pc.if_else(part.is_null(), pa.scalar(None, pa.large_string()), form) if part.null_count else form)
     return pa.concat_arrays(chunks)
 
 
