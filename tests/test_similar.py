@@ -57,22 +57,27 @@ def test_merged_concepts(spark, rows):
     assert S.merged_concepts(rule.limit(0), model.limit(0)).count() == 0
 
 
-class Stub:
-    def complete(self, prompt):
-        if "fail" in prompt:
-            raise ValueError("no")
-        return prompt.upper()
+def stub():
+    """A factory that is sent to the tasks by value."""
+
+    class Stub:
+        def complete(self, prompt):
+            if "fail" in prompt:
+                raise ValueError("no")
+            return prompt.upper()
+
+    return lambda: Stub()
 
 
 def test_extraction(spark, rows):
     texts = spark.createDataFrame([("a", "one"), ("b", "one"), ("c", "fail"), ("d", "known")], "conversation_id STRING, text STRING").withColumn("text_hash", F.sha2("text", 256))
     cache = spark.createDataFrame([], "text_hash STRING, stage STRING, prompt_version STRING, model STRING, result STRING")
-    results, new = X.extract(texts, cache, "entity", "v1", "m", "do {text}", Stub)
+    results, new = X.extract(texts, cache, "entity", "v1", "m", "do {text}", stub())
     assert sorted((r.result or r.error) for r in results.collect()) == ["DO KNOWN", "DO ONE", "ValueError: no"]
     cache = spark.createDataFrame(X.put(cache, new).collect(), cache.schema)
-    _, again = X.extract(texts, cache, "entity", "v1", "m", "do {text}", Stub)
+    _, again = X.extract(texts, cache, "entity", "v1", "m", "do {text}", stub())
     assert again.count() == 0
-    _, other = X.extract(texts, cache, "entity", "v2", "m", "do {text}", Stub)
+    _, other = X.extract(texts, cache, "entity", "v2", "m", "do {text}", stub())
     assert other.count() == 2
     assert rows(X.stage_counts(cache)) == [("entity", 2)]
     assert X.put(cache, new).count() == 2
