@@ -86,6 +86,17 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     return found.distinct()
 
 
+def entity_mentions(concepts: DataFrame, entities: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+    """(concept_id, entity_id): every entity whose name, without regard to case, is part of a concept's text.
+
+    All distinct names of ``entities`` are searched for, and every id of a name found counts. Blank names and null ids
+    have no rows.
+    """
+    held = mentions(concepts.where(F.col(key).isNotNull()), key, text, entities)
+    named = entities.where("id is not null").select(F.lower("name").alias("name"), F.col("id").alias("entity_id")).distinct()
+    return held.join(named, "name").select(F.col(key).alias("concept_id"), "entity_id").distinct()
+
+
 def _blocks(names: DataFrame) -> Iterator[list[str]]:
     block, size, any_ = [], 0, False
     for row in names.toLocalIterator():

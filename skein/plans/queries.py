@@ -355,6 +355,14 @@ def concept_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return graph.mentions(own, "content", "content", table(spark, folder, "name_lexicon"))
 
 
+@query()
+def entity_mentions(spark: SparkSession, folder: str) -> DataFrame:
+    """Concepts and all entities whose name they hold; concept_mentions has the names of the lexicon only."""
+    found = topics.concepts(topics.deliveries(table(spark, folder, "messages")))
+    own = found.select(T.short_id(F.col("conversation_id"), F.col("concept_type"), F.lower("content")).alias("id"), "content")
+    return graph.entity_mentions(own, table(spark, folder, "entities"))
+
+
 @query("SELECT kind, count(*) AS n FROM (SELECT DISTINCT id, 'conversation' AS kind FROM conversations UNION ALL SELECT DISTINCT id, 'entity:' || lower(entity_type) FROM entities WHERE entity_type IS NOT NULL UNION ALL SELECT DISTINCT id, 'extracted:' || lower(entity_type) FROM extracted_entities WHERE entity_type IS NOT NULL) GROUP BY kind")
 def graph_nodes(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the graph by kind."""
