@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,7 +74,13 @@ def note_type(stated: Column, path: Column) -> Column:
 
 def negation_flags(text: Column) -> list[Column]:
     """(positive, negative) flags of each pattern pair, eight columns p0, n0, ...; null text gives null."""
-    return [text.rlike(f"(?i){p}").alias(f"{s}{i}") for i, pair in enumerate(NEGATIONS) for s, p in zip("pn", pair)]
+    # the reference's word characters, spaces and case are those of Unicode; Java's \b differs from them by version
+    # a letter beyond 16 bits in the class makes Java look behind by whole code points
+    letter = "[\\p{L}\\p{N}_\U0001d400]"
+    # every border of the patterns has a letter beside it, which is cheaper to look for than the border
+    start = lambda p: re.sub(r"\\b(\w)", lambda m: f"{m[1]}(?<!{letter}{m[1]})", p)
+    own = lambda p: "(?iU)" + start(p).replace(r"\b", f"(?!{letter})")
+    return [text.rlike(own(p)).alias(f"{s}{i}") for i, pair in enumerate(NEGATIONS) for s, p in zip("pn", pair)]
 
 
 def contradicts(flags_a: list[Column], flags_b: list[Column]) -> Column:

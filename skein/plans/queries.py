@@ -132,6 +132,13 @@ def negation_flags(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("id", *T.negation_flags(F.col("content"))).distinct()
 
 
+@query()
+def negation_flags_all(spark: SparkSession, folder: str) -> DataFrame:
+    """Assertion and negation flags of all messages, in whatever script."""
+    own = table(spark, folder, "messages").where("content is not null")
+    return own.select("id", *T.negation_flags(F.col("content"))).distinct()
+
+
 def _any_sql(column: str, keywords: list[str]) -> str:
     return "(" + " OR ".join(f"contains(lower({column}), {quoted([k.lower()])})" for k in keywords) + ")"
 
