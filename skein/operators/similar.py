@@ -1,4 +1,4 @@
-"""Statements compared by the matching-blocks ratio, each with a bounded number of others, so that work grows with the rows."""
+"""Statements compared by the matching-blocks ratio, with a bounded number of others or with all that their signs and sizes allow."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from skein.functions.text import contradicts, negation_flags, replaces
 from skein.plans.blocks import running_sum, with_block
+from skein.session import checkpoint
 
 LOOK_BACK = 50
 
@@ -64,17 +65,42 @@ def superseded(statements: DataFrame, threshold: float = 0.4, look_back: int = L
     return alike.groupBy(F.col("older_id").alias("id")).agg(F.min_by("id", "rn").alias("superseded_by"))
 
 
-def contradictions(statements: DataFrame, threshold: float = 0.5, look_back: int = LOOK_BACK) -> DataFrame:
+@pandas_udf(DoubleType())
+def _ratio_if(a: pd.Series, b: pd.Series, threshold: pd.Series) -> pd.Series:
+    """The ratio, null where the counts of characters already keep it under the threshold."""
+    each = ((SequenceMatcher(None, x, y), t) for x, y, t in zip(a, b, threshold))
+    return pd.Series([m.ratio() if m.quick_ratio() >= t else None for m, t in each], dtype="float64")
+
+
+#: Parts of a class of statements that are joined apart.
+SALTS = 16
+
+
+def contradictions(statements: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id_a, id_b, weight): statements of one type and different groups of which one negates what the other asserts.
 
-    statements: as looked_back, with ``group``. Each is compared with the ``look_back`` before it; comparing all with all
-    grows with the square of the rows and is left to the caller's own pairs.
+    statements: (id, type, text, at, group), at a number; a is the earlier one, ties go by id; null texts and ids take no
+    part. All are compared, exactly: different texts meet by type, by flags that oppose each other and by lengths that
+    allow the ratio (at least ``threshold``, above 0), then by their counts of characters; what is left is matched.
     """
-    near = looked_back(statements, F.lit(True), look_back).join(statements.select(F.col("id").alias("older_id"), F.col("group").alias("older_group")).distinct(), "older_id")
-    near = near.where(~F.coalesce(F.col("group") == F.col("older_group"), F.lit(False)))
-    opposed = near.where(contradicts(negation_flags(F.col("older_text")), negation_flags(F.col("text"))) & may_reach(F.col("older_text"), F.col("text"), threshold))
-    alike = opposed.withColumn("r", ratio(F.lower("older_text"), F.lower("text"))).where(F.col("r") >= threshold)
-    return alike.select(F.col("older_id").alias("id_a"), F.col("id").alias("id_b"), F.round("r", 3).alias("weight")).distinct()
+    own = statements.where("text is not null and id is not null").select("id", "type", "text", "group", F.struct(F.col("at").isNotNull().alias("known"), F.coalesce("at", F.lit(0)).alias("at"), "id").alias("place")).distinct()
+    flags = negation_flags(F.col("text"))
+    texts = own.groupBy("type", "text").agg(F.min("place").alias("first"), F.max("place").alias("last")).select("*", F.lower("text").alias("low"), F.array(*flags).alias("flags")).where("low != ''")
+    # lengths of a ratio of at most (2 - threshold) / threshold lie in the same or in adjoining classes
+    base = max(2.0, (2 - threshold) / threshold) * 1.001
+    texts = checkpoint(texts.withColumn("size", F.floor(F.log(F.length("low")) / F.log(F.lit(base)))))
+    kinds = texts.select("type", "flags").distinct()
+    bits = lambda c: [F.col(c)[i] for i in range(len(flags))]
+    opposed = kinds.withColumnRenamed("flags", "flags_a").join(kinds.withColumnRenamed("flags", "flags_b"), "type").where(contradicts(bits("flags_a"), bits("flags_b")))
+    size = F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1)))).alias("size")
+    older = texts.select("type", F.col("flags").alias("flags_a"), F.col("text").alias("text_a"), F.col("low").alias("low_a"), "first", size).join(opposed, ["type", "flags_a"])
+    older = older.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    newer = texts.select("type", F.col("flags").alias("flags_b"), F.col("text").alias("text_b"), F.col("low").alias("low_b"), "last", "size", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int").alias("salt"))
+    near = older.join(newer, ["type", "flags_b", "size", "salt"]).where((F.col("first") < F.col("last")) & may_reach(F.col("low_a"), F.col("low_b"), threshold))
+    alike = near.withColumn("r", _ratio_if("low_a", "low_b", F.lit(threshold))).where(F.col("r") >= threshold).select("type", "text_a", "text_b", "r")
+    named = lambda s: own.select("type", F.col("text").alias(f"text_{s}"), F.col("id").alias(f"id_{s}"), F.col("group").alias(f"group_{s}"), F.col("place").alias(f"place_{s}"))
+    pairs = alike.join(named("a"), ["type", "text_a"]).join(named("b"), ["type", "text_b"]).where((F.col("place_a") < F.col("place_b")) & ~F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False)))
+    return pairs.select("id_a", "id_b", F.round("r", 3).alias("weight")).distinct()
 
 
 def stale(statements: DataFrame, now: Column, days: int = 90, least: float = 0.7) -> DataFrame:

@@ -422,6 +422,16 @@ def superseded_concepts(spark: SparkSession, folder: str) -> DataFrame:
     return similar.superseded(own)
 
 
+@query()
+def contradictory_concepts(spark: SparkSession, folder: str) -> DataFrame:
+    """Decisions and insights of different conversations that contradict each other, by a ratio of a half."""
+    found = topics.concepts(topics.deliveries(table(spark, folder, "messages"))).where("concept_type in ('decision', 'insight')")
+    dates = table(spark, folder, "conversations").groupBy(F.col("id").alias("conversation_id")).agg(F.unix_micros(F.max("updated_at")).alias("at"))
+    id_ = T.short_id(F.col("conversation_id"), F.col("concept_type"), F.lower("content"))
+    own = found.join(dates, "conversation_id", "left").select(id_.alias("id"), F.col("concept_type").alias("type"), F.col("content").alias("text"), "at", F.col("conversation_id").alias("group"))
+    return similar.contradictions(own)
+
+
 # Events as calendar days and sessions
 
 
