@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.guards import once
@@ -117,6 +121,76 @@ def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", v
     return scored.where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k)
 
 
+#: Query vectors sent to the tasks at once, and vectors compared with them at once.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
+
+
+def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, rank, similarity): for each row of ``queries`` the k vectors nearest to it, exactly; key is a BIGINT.
+
+    Similarities are compared by nine digits, ties by key. The queries are taken in blocks of bounded size with one pass
+    over the vectors a block; a task keeps the k best of each query. Vectors and queries that are null, hold a null or have
+    no finite length above 0 have no rows; vectors of another dimension than the query's aren't compared with it.
+    """
+    found, block = None, []
+    asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(key).agg(F.min(vector).alias("q"))
+
+    def searched(block: list[tuple], found: DataFrame | None) -> DataFrame:
+        shared = vectors.sparkSession.sparkContext.broadcast(block)
+        own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>"))
+        part = own.mapInArrow(_nearest(shared, k, key), f"query BIGINT, {key} BIGINT, similarity DOUBLE")
+        return part if found is None else found.unionByName(part)
+
+    for row in asked.toLocalIterator():
+        block.append((row[key], row.q))
+        if len(block) == QUERY_BLOCK:
+            found, block = searched(block, found), []
+    if block or found is None:
+        found = searched(block, found)
+    own = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), key)
+    return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query", key, "rank", "similarity")
+
+
+def _nearest(shared, k: int, key: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def unit(m):
+            """Rows of length 1 and which rows have one."""
+            length = np.sqrt((m * m).sum(axis=1))
+            sound = np.isfinite(length) & (length > 0)
+            return m[sound] / length[sound, None], sound
+
+        sides: dict[int, list] = {}
+        for i, v in shared.value:
+            if v and None not in v:
+                sides.setdefault(len(v), []).append((i, v))
+        best = {}
+        for size, own in sides.items():
+            m, sound = unit(np.array([v for _, v in own], dtype="float64"))
+            ids = np.array([i for i, _ in own], dtype="int64")[sound]
+            best[size] = [ids, m, np.zeros((len(ids), 0), "int64"), np.zeros((len(ids), 0))]
+        for batch in batches:
+            for start in range(0, batch.num_rows, VECTOR_BLOCK):
+                part = batch.slice(start, VECTOR_BLOCK)
+                lengths = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False)
+                for size, state in best.items():
+                    held = part.filter(pa.array(lengths == size))
+                    if not held.num_rows:
+                        continue
+                    flat = held.column(1).flatten()
+                    m, sound = unit(flat.to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size))  # null is NaN here
+                    ids, q, keys, near = state
+                    keys = np.hstack([keys, np.broadcast_to(held.column(0).to_numpy()[sound], (len(ids), len(m)))])
+                    near = np.hstack([near, q @ m.T])
+                    order = np.lexsort((keys, -np.round(near, 9)), axis=-1)[:, :k]
+                    state[2], state[3] = np.take_along_axis(keys, order, 1), np.take_along_axis(near, order, 1)
+        for ids, _, keys, near in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, keys.shape[1])), pa.array(keys.ravel()), pa.array(near.ravel())], names=["query", key, "similarity"])
+
+    return run
+
+
 def fuse(lexical: DataFrame, near: DataFrame, k: int, weight: float = 0.3, key: str = "doc_id") -> DataFrame:
     """(key, score): lexical and vector scores, each divided by its greatest, weighted and added; the k best, ties by key.
 

@@ -238,6 +238,13 @@ def vector_top(spark: SparkSession, folder: str) -> DataFrame:
     return index.nearest(table(spark, folder, "embeddings"), _vector(spark, folder), 30).select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
+@query("SELECT query, vec_id, rank, round(s, 5) AS similarity FROM (SELECT query, vec_id, s, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query, v.vec_id AS vec_id, list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE s IS NOT NULL) WHERE rank <= 30")
+def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The thirty vectors nearest to each one whose number is divisible by 20, among all, exactly."""
+    own = table(spark, folder, "embeddings")
+    return index.nearest_each(own, own.where("vec_id % 20 = 0"), 30).select("query", "vec_id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
 @query(f"WITH {_BM25}, v AS (SELECT vec_id AS doc_id, 1 / (2 - similarity) AS close FROM ({_NEAR}) ORDER BY round(similarity, 9) DESC, vec_id LIMIT 30), f AS (SELECT coalesce(bm.doc_id, v.doc_id) AS doc_id, coalesce(score / (SELECT max(score) FROM bm), 0) * 0.7 + coalesce(close / (SELECT max(close) FROM v), 0) * 0.3 AS s FROM bm FULL JOIN v ON bm.doc_id = v.doc_id) SELECT doc_id, round(s, 5) AS score FROM f ORDER BY round(s, 8) DESC, doc_id LIMIT 10")
 def hybrid_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents by lexical and vector scores together; a vector belongs to the document of its number."""
