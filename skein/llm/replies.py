@@ -203,10 +203,10 @@ def dropped(messages: DataFrame, conversations: DataFrame, codex: DataFrame) ->
 def reply_order(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(conversation_id, id, step, depth, cyclic) of rows (conversation_id, id, parent_id, at) that name their parents.
 
-    step orders a conversation topologically, ties by ``at`` and id; nodes in or behind a cycle have cyclic true and no
-    step. A parent that is not there counts as none; repeated rows count once. Conversations of up to ``block_rows`` rows
-    are sorted by Kahn's algorithm in one task each; larger ones by pointer doubling over joins, which gives the same
-    order: a node is ready at the latest time on its way from the root.
+    step orders a conversation topologically: by when a node is ready, the latest ``at`` on its way from the root, then by
+    depth and id; nodes in or behind a cycle have cyclic true and no step. A parent that is not there counts as none;
+    repeated rows count once. Conversations of up to ``block_rows`` rows are walked in one task each, larger ones by pointer
+    doubling over joins; the order is one and the same, though not that of ``kahn``'s heap.
     """
     rows = checkpoint(rows.groupBy("conversation_id", "id").agg(F.min("parent_id").alias("parent_id"), F.min("at").alias("at")))
     sizes = rows.groupBy("conversation_id").agg(F.count("*").alias("n"))
@@ -219,10 +219,14 @@ def reply_order(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             place = {x: i for i, x in enumerate(ids)}
             parents = [place.get(p, -1) for p in g["parent_id"]]
             at = g["at"].tolist()
-            order = kahn(parents, [(-1 if t != t or t is None else t, x) for t, x in zip(at, ids)])
+            ready = [-1 if t != t or t is None else t for t in at]
+            order = kahn(parents, ids)
             depth, step = [0] * len(ids), [None] * len(ids)
-            for s, i in enumerate(order):
-                step[i], depth[i] = s, depth[parents[i]] + 1 if parents[i] >= 0 else 0
+            for i in order:
+                if parents[i] >= 0:
+                    depth[i], ready[i] = depth[parents[i]] + 1, max(ready[i], ready[parents[i]])
+            for s, i in enumerate(sorted(order, key=lambda i: (ready[i], depth[i], ids[i]))):
+                step[i] = s
             yield pd.DataFrame({"conversation_id": g["conversation_id"], "id": ids, "step": pd.array(step, "Int64"), "depth": depth, "cyclic": [s is None for s in step]})
 
     schema = "conversation_id STRING, id STRING, step BIGINT, depth BIGINT, cyclic BOOLEAN"
