@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegralType
 
 from skein.functions.text import contradicts, negation_flags, replaces
-from skein.plans.blocks import running_sum, with_block
+from skein.plans.blocks import ROWS, running_sum, sortable, with_block
 from skein.session import checkpoint
 
 LOOK_BACK = 50
@@ -33,11 +33,12 @@ def may_reach(a: Column, b: Column, threshold: float) -> Column:
     return 2 * F.least(F.length(a), F.length(b)) >= threshold * (F.length(a) + F.length(b))
 
 
-def numbered(rows: DataFrame, order: str, ties: list[str], out: str = "rn") -> DataFrame:
-    """``rows`` with their place, from 0, in the order of a number and then ``ties``; no task orders them all."""
-    one = rows.withColumns({"__all": F.lit(1), "__one": F.lit(1)})
-    placed = with_block(one, ["__all"], order, out="__block")
-    return running_sum(placed, ["__all"], "__block", [F.col(order).asc_nulls_first(), *ties], "__one", out).drop("__all", "__one", "__block")
+def numbered(df: DataFrame, order: str, ties: list[str], out: str = "rn", rows: int = ROWS) -> DataFrame:
+    """``df`` with the place of each row, from 0, in the order of a number and then ``ties``, strings or whole numbers; no task orders them all."""
+    one = df.withColumns({"__all": F.lit(1), "__one": F.lit(1)})
+    one = checkpoint(one.withColumn("__tie", sortable(*map(F.col, ties), sizes=tuple(isinstance(df.schema[t].dataType, IntegralType) for t in ties))))
+    placed = with_block(one, ["__all"], order, rows, "__block", "__tie")
+    return running_sum(placed, ["__all"], "__block", [F.col(order).asc_nulls_first(), "__tie"], "__one", out).drop("__all", "__one", "__tie", "__block")
 
 
 def looked_back(statements: DataFrame, signal: Column, look_back: int = LOOK_BACK) -> DataFrame:
