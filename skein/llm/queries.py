@@ -37,6 +37,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return replies.dropped(*(table(spark, folder, t) for t in ("messages", "conversations", "codex_lines")))
 
 
+def p7_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The nodes of exported conversations in the order of their reply trees."""
+    return replies.export_order(table(spark, folder, "chatgpt_exports"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold passages of held-out items."""
     return leakage.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark_items")).select("doc_id", "item_id")
@@ -52,7 +57,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_order": p7_order, "p8_found": p8_found, "p9_mix": p9_mix, "p10_found": p10_found}
 _SPACE = "[\\s\\x1c-\\x1f\\x85\\p{Z}]"
 _LONG = "SELECT DISTINCT '{origin}' AS origin, id AS item_key, CASE WHEN list_max(list_transform(regexp_split_to_array({text}, '{space}'), lambda x: length(x))) > 2000 THEN 1 ELSE 0 END AS nospace FROM {table} WHERE length({text}) > 2000"
 _PAIRS = (

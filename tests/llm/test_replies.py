@@ -82,7 +82,7 @@ def test_reply_graphs(spark):
     data += [("loop", "a", "b", 1), ("loop", "b", "a", 1), ("loop", "d", "a", 1), ("loop", "e", "gone", 1)]
     df = spark.createDataFrame([*data, data[0]], "conversation_id STRING, id STRING, parent_id STRING, at BIGINT")
     small = {(x.conversation_id, x.id): (x.step, x.depth, x.cyclic) for x in reply_order(df).collect()}
-    large = {(x.conversation_id, x.id): (x.step, x.depth, x.cyclic) for x in reply_order(df, block_rows=2).collect()}
+    large = {(x.conversation_id, x.id): (x.step, x.depth, x.cyclic) for x in reply_order(df, block_rows=16).collect()}
     assert small.keys() == large.keys() == {d[:2] for d in data}
     assert {k for k, v in small.items() if v[2]} == {k for k, v in large.items() if v[2]} == {("loop", "a"), ("loop", "b"), ("loop", "d")}
     for got in (small, large):
