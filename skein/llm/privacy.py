@@ -28,11 +28,15 @@ from skein.llm.boosting import BoostedTrees
 from skein.llm.canonical import slices
 from skein.llm.mixing import TOKENIZER, tokenizer_path
 from skein.llm.names import MAX_LEXICON
+from skein.session import checkpoint
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Texts written to train the trees on, and the seed they are written from.
 TRAINING_TEXTS, SEED = 9000, 7
 
+#: Digits without which no phone or id number is proposed.
+LEAST_DIGITS = 6
+
 # Forms of address, words of streets, spoken digits.
 TITLES = ["mr", "mrs", "ms", "miss", "mx", "dr", "prof", "professor", "frau", "herr", "mme", "mlle", "monsieur", "madame", "señor", "señora", "sr", "sra", "don", "doña"]
 STREETS = ["street", "st", "avenue", "ave", "road", "rd", "lane", "ln", "way", "court", "ct", "square", "sq", "drive", "dr", "boulevard", "blvd", "place", "pl", "terrace", "close", "crescent", "row", "hill", "parkway", "highway"]
@@ -64,9 +68,51 @@ _CITY = re.compile(rf"(?:,? (?:Apt|Suite|Unit|Flat)\.? \w+|, \d+º(?: [A-Z]\b)?)
 _TITLED = re.compile(rf"\b(?:{'|'.join(TITLES)})\b\.?\s+(?=[^\W\d_])", re.I)
 _WORDS = re.compile(_WORD)
 _TITLE_WORDS = frozenset(TITLES)
-# Substrings without which a pattern can't match; a text that has none of them needn't be looked through.
-_MAIL_SIGNS = ("@", "at)", "at]", "at}", "at>", "AT)", "AT]", "AT}", "AT>", "at )", "at ]", "AT )", "AT ]", " dot ", " DOT ")
-_STREET_SIGNS = tuple(dict.fromkeys([*(s.title() for s in STREETS), "Box", "Postfach", "Apartado", "Boîte", "BP", "rue ", "avenue ", "av.", "boulevard ", "bd ", "place ", "chemin ", "allée ", "impasse ", "quai ", "route ", "cours ", "passage ", "straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm", "ring", "C/", "Calle", "Avda", "Avenida", "Plaza", "Paseo", "Camino"]))
+# What a pattern can't match without; a text that holds none of it needn't be looked through. Each part of a pattern has its
+# own sign: literal text of that part, or for spoken addresses the sub-pattern itself.
+_BRACKETED_AT = re.compile(r"[(\[{<]\s?(?:at|AT)\s?[)\]}>]")
+_STREET_SIGNS = [
+    *(f" {s.title()}" for s in STREETS),
+    "Box", "Postfach", "Apartado", "Boîte postale", "BP",
+    "rue", "avenue", "av.", "boulevard", "bd", "place", "chemin", "allée", "impasse", "quai", "route", "cours", "passage",
+    "straße", "strasse", "str.", "gasse", "weg", "platz", "allee", "ufer", "damm", "ring",
+    "C/", "Calle", "Avda", "Avenida", "Plaza", "Paseo", "Camino",
+]
+_SPOKEN_SIGNS = [f"{a}{by}{b}" for a in DIGIT_WORDS for b in DIGIT_WORDS for by in " -"]
+
+
+def _any_of(signs: list[str]):
+    """Whether a text holds any of the signs, by one automaton."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for s in signs:
+        automaton.add_word(s, True)
+    automaton.make_automaton()
+    return lambda text: next(automaton.iter(text), None) is not None
+
+
+@cache
+def _signs() -> tuple:
+    return _any_of(_STREET_SIGNS), _any_of(_SPOKEN_SIGNS)
+
+
+def may_hold_email(text: str) -> bool:
+    return "@" in text or " dot " in text or " DOT " in text or _BRACKETED_AT.search(text) is not None
+
+
+def may_hold_number(text: str) -> bool:
+    """Whether there are as many digits as a number needs; digits of other scripts count as enough."""
+    return not text.isascii() or sum(map(text.count, "0123456789")) >= LEAST_DIGITS
+
+
+def may_hold_address(text: str) -> bool:
+    return _signs()[0](text)
+
+
+def may_hold_spoken(text: str) -> bool:
+    # some letters are no ASCII ones and yet fold to them without regard to case
+    return not text.isascii() or _signs()[1](text.lower())
 
 
 @lru_cache(200_000)
@@ -133,12 +179,16 @@ class Finder:
     def __init__(self, given: frozenset[str], learnt: frozenset[str], path: str):
         self.given, self.learnt, self.rarity = given, learnt, Rarity(path)
         self._kinds: dict[str, int] = {}
-
-    def spans(self, text: str) -> list[Span]:
-        out = [Span("email", m.start(), m.end(), self.email(text, m)) for m in _EMAIL.finditer(text)] if any(x in text for x in _MAIL_SIGNS) else []
-        for m in _NUMBER.finditer(text):
+        self._telling: set[str] = set()
+        self.more: frozenset[str] = frozenset()
+
+    def spans(self, text: str, own: frozenset[str] = frozenset(), sift: bool = True) -> list[Span]:
+        """Candidates of all kinds. own: learnt given names beside the finder's; sift: look only for what the text may hold,
+        which finds the same."""
+        out = [Span("email", m.start(), m.end(), self.email(text, m)) for m in _EMAIL.finditer(text)] if not sift or may_hold_email(text) else []
+        for m in _NUMBER.finditer(text) if not sift or may_hold_number(text) else ():
             raw = m.group()
-            if sum(c.isdigit() for c in raw) < 6:
+            if len(raw) < LEAST_DIGITS or sum(map(str.isdigit, raw)) < LEAST_DIGITS:
                 continue
             start, end = self.trimmed(text, m.start(), m.end())
             features = self.number(text, start, end)
@@ -147,14 +197,13 @@ class Finder:
             inner = re.search(r"[+(]?\d", text[start:end])
             if inner and inner.start():
                 out.append(Span("phone", start + inner.start(), end, self.number(text, start + inner.start(), end)))
-        low = text.lower()
-        for m in _SPOKEN.finditer(text) if any(x in low for x in DIGIT_WORDS) else ():
+        for m in _SPOKEN.finditer(text) if not sift or may_hold_spoken(text) else ():
             out.append(Span("phone", m.start(), m.end(), self.spoken(text, m)))
-        for m in _ADDRESS.finditer(text) if any(x in text for x in _STREET_SIGNS) else ():
+        for m in _ADDRESS.finditer(text) if not sift or may_hold_address(text) else ():
             end = m.end()
             city = _CITY.match(text, end)
             out.append(Span("address", m.start(), city.end(), self.address(text, m, city.end() > end)))
-        out += self.names(text)
+        out += self.names(text, own)
         return out
 
     @staticmethod
@@ -210,15 +259,25 @@ class Finder:
         if kind is None:
             if len(self._kinds) > 500_000:
                 self._kinds.clear()
+                self._telling.clear()
             kind = self._kinds[word] = 1 if plain(word) in self.given or plain(word) in self.learnt else 2 if word.casefold() in _TITLE_WORDS else 0
+            if kind:
+                self._telling.add(word)
         return kind
 
-    def names(self, text: str) -> list[Span]:
-        kinds = list(map(self.kind_of, _WORDS.findall(text)))
+    def names(self, text: str, own: frozenset[str] = frozenset()) -> list[Span]:
+        self.more = own
+        found = _WORDS.findall(text)
+        each = set(found)
+        for word in each.difference(self._kinds):
+            self.kind_of(word)
+        if not own and self._telling.isdisjoint(each):
+            return []
+        kinds = [1 if own and plain(w) in own else self.kind_of(w) for w in found]
         if not any(kinds):
             return []
         out = []
-        words = [(m.group(), m.start(), m.end()) for m in _WORDS.finditer(text)]
+        words = [(w, *m.span()) for w, m in zip(found, _WORDS.finditer(text))]
         for i, kind in enumerate(kinds):
             if kind != 1:
                 continue
@@ -265,7 +324,7 @@ class Finder:
         follow = words[last + 1][0] if last + 1 < len(words) and text[end : words[last + 1][1]] == " " else ""
         beside = other if family is not None and family > given else follow
         return [
-            float(form == 0), float(form == 1), float(form == 2), style(own), style(other), float(plain(own) in self.given), float(plain(own) in self.learnt),
+            float(form == 0), float(form == 1), float(form == 2), style(own), style(other), float(plain(own) in self.given), float(plain(own) in self.learnt or plain(own) in self.more),
             float(self.rarity(other)) if other else 0.0, float(len(other)), float(self.rarity(own)), float(len(own)), float(begins), float(start == 0),
             float(left[-1:].isalnum() or left[-1:] in "_@/-.+"), float(left[-1:] in "\"'(<|=:"), float(after in ",!?." and bool(after)), float(after in "\"')>|/"), float(after == "_" or after == "@" or after == "-"),
             float(bool(STOP_AFTER.fullmatch(beside))) if beside else 0.0, float(bool(NAME_AFTER.fullmatch(beside))) if beside else 0.0, float(style(beside)), float(self.rarity(beside)) if beside else 0.0,
@@ -387,9 +446,11 @@ class Detector:
     def __init__(self, finder: Finder, models: dict[str, BoostedTrees]):
         self.finder, self.models = finder, models
 
-    def mentions(self, texts: list[str | None]) -> Iterator[list[tuple[str, int, int]]]:
-        """(kind, start, end) of each text's mentions, in order; null and empty texts have none."""
-        spans = [self.finder.spans(t) if t else [] for t in texts]
+    def mentions(self, texts: list[str | None], learnt: list[list[str] | None] | None = None) -> Iterator[list[tuple[str, int, int]]]:
+        """(kind, start, end) of each text's mentions, in order; null and empty texts have none. learnt: further given names
+        for each text."""
+        own = [frozenset(x or ()) for x in learnt] if learnt is not None else [frozenset()] * len(texts)
+        spans = [self.finder.spans(t, o) if t else [] for t, o in zip(texts, own)]
         chance: dict[int, float] = {}
         for kind, model in self.models.items():
             own = [s for found in spans for s in found if s.kind == kind]
@@ -435,50 +496,81 @@ def lexicon_given(lexicon: DataFrame) -> frozenset[str]:
     return frozenset(plain(x) for r in rows for x in (r.name, r.formal) if x)
 
 
-#: A word counts as a given name if so many different rare words follow it, most of them once: at most a set number of words.
+#: A word counts as a given name if so many different rare words follow it, and such a share of all that follow it. So many
+#: learnt words are sent to all tasks; if there are more, each text is joined with its own, to the same result.
 LEARN_PARTNERS, LEARN_SHARE, LEARN_MOST = 3, 0.6, 100_000
+#: Pieces of the tokenizer's vocabulary that a rare word needs.
+RARE = 3
 
 
-def learnt_given(texts: DataFrame, text: str, given: frozenset[str]) -> frozenset[str]:
-    """Words of the corpus that are used like given names: written with a capital before many different capitalised words.
+def learnt_given(texts: DataFrame, text: str, given: frozenset[str], path: str) -> DataFrame:
+    """(word): words of the corpus that are used like given names: written with a capital before many different capitalised
+    rare words.
 
-    Counted over all texts; only the words that pass, at most LEARN_MOST of the most used, come to the driver.
+    Counted over all texts, each pair of words once, so that copies of a text and the size of the corpus don't count.
     """
-    pairs = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w@.])(\p{Lu}\p{Ll}{2,11} \p{Lu}\p{Ll}{2,})\b"))).alias("pair"))
-    parts = pairs.select(F.split_part("pair", F.lit(" "), F.lit(1)).alias("first"), F.split_part("pair", F.lit(" "), F.lit(2)).alias("second"))
-    used = parts.where(~F.col("first").isin([t.title() for t in (*TITLES, *given)])).groupBy("first", "second").agg(F.count("*").alias("n"))
-    known = F.lower("second").isin(sorted(given)) if given else F.lit(False)
-    words = used.groupBy("first").agg(F.count_if(~known & (F.length("second") > 5)).alias("partners"), F.sum("n").alias("n"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("known"))
+    pairs = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w@.])(\p{Lu}\p{Ll}{2,} \p{Lu}\p{Ll}{2,})\b"))).alias("pair")).distinct()
+    stop = frozenset(t.title() for t in (*TITLES, *given))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = Rarity(path)
+        for batch in batches:
+            both = [(a, b) for a, _, b in (x.partition(" ") for x in batch.column(0).to_pylist()) if a not in stop]
+            known = [b.lower() in given for _, b in both]
+            rare = [not k and rarity(b) >= RARE for (_, b), k in zip(both, known)]
+            yield pa.RecordBatch.from_pydict({"word": pa.array([plain(a) for a, _ in both], pa.string()), "first": pa.array([a for a, _ in both], pa.string()), "known": pa.array(known, pa.bool_()), "rare": pa.array(rare, pa.bool_())})
+
+    used = pairs.mapInArrow(run, "word STRING, first STRING, known BOOLEAN, rare BOOLEAN")
+    words = used.groupBy("word", "first").agg(F.count_if("rare").alias("partners"), F.count("*").alias("n"), F.count_if("known").alias("known"))
     # what stands before given names is no given name itself
-    words = words.where((F.col("partners") >= LEARN_PARTNERS) & (F.col("partners") >= LEARN_SHARE * F.col("n")) & (F.col("known") <= 0.1 * F.col("n")))
-    return frozenset(plain(r["first"]) for r in words.orderBy(F.desc("n"), "first").limit(LEARN_MOST).collect())
+    return words.where((F.col("partners") >= LEARN_PARTNERS) & (F.col("partners") >= LEARN_SHARE * F.col("n")) & (F.col("known") <= 0.1 * F.col("n"))).select("word").distinct()
 
 
-def detector(texts: DataFrame, text: str, lexicon: DataFrame, path: str | None = None) -> Detector:
+def detector(texts: DataFrame, text: str, lexicon: DataFrame, path: str | None = None) -> tuple[Detector, DataFrame | None]:
+    """(detector, the learnt given names where they are too many to send to all tasks)."""
     path = path or tokenizer_path(TOKENIZER)
     given = lexicon_given(lexicon)
-    return Detector(Finder(given, learnt_given(texts, text, given), path), train(given, path))
+    learnt = learnt_given(texts, text, given, path)
+    few = [r.word for r in learnt.limit(LEARN_MOST + 1).collect()]
+    many = len(few) > LEARN_MOST
+    return Detector(Finder(given, frozenset() if many else frozenset(few), path), train(given, path)), learnt if many else None
+
+
+def with_learnt(df: DataFrame, text: str, learnt: DataFrame) -> DataFrame:
+    """``df`` with the array __learnt of the learnt words that each text holds, by a join on its words."""
+    rows = checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, w) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if t for w in {plain(w) for w in _WORDS.findall(t)}]
+            yield pa.RecordBatch.from_pydict({"__row": pa.array([i for i, _ in out], pa.int64()), "word": pa.array([w for _, w in out], pa.string())})
+
+    held = rows.select("__row", text).mapInArrow(run, "__row BIGINT, word STRING").join(learnt, "word").groupBy("__row").agg(F.collect_set("word").alias("__learnt"))
+    return rows.join(held, "__row", "left").drop("__row")
 
 
-def mentions(df: DataFrame, text: Column, keys: list[str], found: Detector) -> DataFrame:
+def mentions(df: DataFrame, text: Column, keys: list[str], found: Detector, learnt: DataFrame | None = None) -> DataFrame:
     """keys, kind, start_pos, end_pos: every mention of each row's text; positions count code points from 0."""
     shared = df.sparkSession.sparkContext.broadcast(found)
     schema = T.StructType([*(df.schema[k] for k in keys), *T.StructType.fromDDL("kind STRING, start_pos INT, end_pos INT").fields])
     arrow = to_arrow_schema(schema)
+    n = len(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, rows = [], []
-            texts = batch.column(len(keys))
+            texts = batch.column(n)
             for a, b in slices(texts):
-                for i, own in enumerate(shared.value.mentions(texts.slice(a, b - a).to_pylist())):
+                more = batch.column(n + 1).slice(a, b - a).to_pylist() if batch.num_columns > n + 1 else None
+                for i, own in enumerate(shared.value.mentions(texts.slice(a, b - a).to_pylist(), more)):
                     source += [a + i] * len(own)
                     rows += own
             at = pa.array(source, pa.int64())
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[], [], []], list(arrow)[len(keys) :])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(len(keys))), *columns], schema=arrow)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[], [], []], list(arrow)[n:])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(n)), *columns], schema=arrow)
 
-    return df.select(*keys, text.alias("__text")).where("__text is not null and __text != ''").mapInArrow(run, schema)
+    own = df.select(*keys, text.alias("__text")).where("__text is not null and __text != ''")
+    return (own if learnt is None else with_learnt(own, "__text", learnt)).mapInArrow(run, schema)
 
 
 def redact(text: str | None, own: list[tuple[str, int, int]]) -> str | None:
@@ -492,7 +584,7 @@ def redact(text: str | None, own: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def redacted(df: DataFrame, text: str, found: Detector) -> DataFrame:
+def redacted(df: DataFrame, text: str, found: Detector, learnt: DataFrame | None = None) -> DataFrame:
     """``df`` with its mentions in ``text`` replaced by placeholders; null stays null, all other columns and rows stay."""
     shared = df.sparkSession.sparkContext.broadcast(found)
     schema, arrow = df.schema, to_arrow_schema(df.schema)
@@ -504,12 +596,13 @@ def redacted(df: DataFrame, text: str, found: Detector) -> DataFrame:
             new = []
             for a, b in slices(texts):
                 part = texts.slice(a, b - a).to_pylist()
-                new += [redact(t, own) for t, own in zip(part, shared.value.mentions(part))]
-            columns = list(batch.columns)
+                more = batch.column(len(arrow)).slice(a, b - a).to_pylist() if batch.num_columns > len(arrow) else None
+                new += [redact(t, own) for t, own in zip(part, shared.value.mentions(part, more))]
+            columns = list(batch.columns)[: len(arrow)]
             columns[at] = pa.array(new, arrow.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return (df if learnt is None else with_learnt(df, text, learnt)).mapInArrow(run, schema)
 
 
 def all_texts(messages: DataFrame, codex: DataFrame) -> DataFrame:
@@ -520,14 +613,14 @@ def all_texts(messages: DataFrame, codex: DataFrame) -> DataFrame:
     string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     text_of = lambda v: F.coalesce(string(F.try_variant_get(v, "$.text", "variant")), string(v))
     blocks = F.when(F.schema_of_variant(content) == "STRING", F.array(string(content))).otherwise(F.transform(F.try_variant_get(content, "$", "array<variant>"), text_of))
-    parsed = line.select(F.col("rec_id").cast("string").alias("rec_key"), once(blocks).alias("blocks"), once(string(output)).alias("output"))
-    texts = parsed.select(F.lit("codex_text").alias("origin"), "rec_key", F.posexplode("blocks").alias("block", "text"))
-    outputs = parsed.select(F.lit("codex_output").alias("origin"), "rec_key", F.lit(0).alias("block"), F.col("output").alias("text"))
-    return own.unionByName(texts).unionByName(outputs).where("text is not null and text != ''")
+    entry = lambda origin, block, text: F.struct(F.lit(origin).alias("origin"), block.cast("int").alias("block"), text.alias("text"))
+    entries = F.concat(F.transform(F.coalesce(blocks, F.array().cast("array<string>")), lambda t, i: entry("codex_text", i, t)), F.array(entry("codex_output", F.lit(0), string(output))))
+    parsed = line.select(F.col("rec_id").cast("string").alias("rec_key"), F.inline(once(entries)))
+    return own.unionByName(parsed).where("text is not null and text != ''")
 
 
 def all_mentions(messages: DataFrame, codex: DataFrame, lexicon: DataFrame, path: str | None = None) -> DataFrame:
     """(origin, rec_key, block, kind, start_pos): the distinct mentions in all texts."""
     texts = all_texts(messages, codex)
-    found = mentions(texts, F.col("text"), ["origin", "rec_key", "block"], detector(texts, "text", lexicon, path))
+    found = mentions(texts, F.col("text"), ["origin", "rec_key", "block"], *detector(texts, "text", lexicon, path))
     return found.select("origin", "rec_key", "block", "kind", "start_pos").distinct()

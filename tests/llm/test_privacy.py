@@ -1,3 +1,4 @@
+import random
 import time
 from collections import Counter
 
@@ -76,8 +77,35 @@ def test_long_texts_take_linear_time(found):
 def test_learnt_given(spark):
     texts = [(f"Farid {w} said so. Try Kestrelbox {w}.",) for w in ("Ombrevak", "Zukritol", "Plivander", "Skoruntha")] + [("Text Celia Ombrevak now",)] * 4 + [(None,)]
     df = spark.createDataFrame(texts, "text STRING")
-    got = P.learnt_given(df, "text", GIVEN)
+    got = {r.word for r in P.learnt_given(df, "text", GIVEN, P.tokenizer_path()).collect()}
     assert "farid" in got and "text" not in got
+    copied = df.unionByName(df.where("text like 'Farid%'").limit(1).select(F.explode(F.array_repeat("text", 500)).alias("text")))
+    assert {r.word for r in P.learnt_given(copied, "text", GIVEN, P.tokenizer_path()).collect()} == got
+
+
+def test_many_learnt_names_are_joined(spark, found, rows):
+    texts = [(i, f"We met Farid {w} and Ivo Plen.") for i, w in enumerate(("Ombrevak", "Zukritol", "Plivander", "Skoruntha"))] + [(9, None), (10, ""), (11, "no one")]
+    df = spark.createDataFrame([*texts, texts[0]], "k INT, text STRING")
+    learnt = spark.createDataFrame([("farid",), ("unused",)], "word STRING")
+    bare = P.Detector(P.Finder(GIVEN, frozenset(), P.tokenizer_path()), found.models)
+    want = rows(P.mentions(df, F.col("text"), ["k"], found))
+    assert len(want) == 10
+    assert rows(P.mentions(df, F.col("text"), ["k"], bare, learnt)) == want
+    assert rows(P.redacted(df, "text", bare, learnt)) == rows(P.redacted(df, "text", found))
+
+
+PIECES = ["jo { at } mail.org", "jo (\xa0at\xa0) mail.org", "jo <at > mail.org", "jo (AT) mail (DOT) org", "jo at mail dot org", "x@y.zz", "12 rue\xa0de la Paix", "12 bis rue\tX", "P.O. Box 12", "BP\xa07", "Apartado de correos 8", "Postal Box 3", "5 Old Mill Rd.", "9, High St", "Quillstr. 7", "Amring 3", "C/ Mayor 3, 4", "Avda. Sol\xa09", "one two three", "ONE-two nine", "oh\u017fix seven \u017even eight", "\u017eix \u017fix zero one", "٠١٢٣٤٥٦", "12 345 6", "1 ext 23456", "(617) 5550123", "Anna", "Mr Bruno Zok", "plain words", "\n", ", ", "é", "(", "at", "dot", "7"]
+
+
+def test_sifting_loses_nothing(found):
+    r = random.Random(4)
+    writer = P.Writer(sorted(GIVEN), seed=9)
+    texts = PIECES + ["".join(r.choice([p, p + " ", " " + p]) for p in r.choices(PIECES, k=r.randint(2, 4))) for _ in range(4000)] + [writer.text()[0] for _ in range(800)]
+    plain = lambda spans: [(s.kind, s.start, s.end) for s in spans]
+    for text in texts:
+        assert plain(found.finder.spans(text)) == plain(found.finder.spans(text, sift=False)), text
+    for text, kind in zip(PIECES, ["email"] * 6 + ["address"] * 12):
+        assert kind in {s.kind for s in found.finder.spans(text)}, text
 
 
 def test_all_texts(spark, rows):
