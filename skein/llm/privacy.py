@@ -505,22 +505,26 @@ RARE = 3
 
 def learnt_given(texts: DataFrame, text: str, given: frozenset[str], path: str) -> DataFrame:
     """(word): words of the corpus that are used like given names: written with a capital before many different capitalised
-    rare words.
+    rare words, which themselves don't follow more small words than capitalised ones, as names of things do.
 
     Counted over all texts, each pair of words once, so that copies of a text and the size of the corpus don't count.
     """
-    pairs = texts.where(F.col(text).isNotNull()).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w@.])(\p{Lu}\p{Ll}{2,} \p{Lu}\p{Ll}{2,})\b"))).alias("pair")).distinct()
+    found = lambda first: F.regexp_extract_all(text, F.lit(rf"(?U)(?<![\w@.])({first} \p{{Lu}}\p{{Ll}}{{2,}})\b"))
+    pairs = texts.where(F.col(text).isNotNull()).select(F.explode(F.concat(found(r"\p{Lu}\p{Ll}{2,}"), found(r"\p{Ll}+"))).alias("pair")).distinct()
+    parts = checkpoint(pairs.select(F.split_part("pair", F.lit(" "), F.lit(1)).alias("first"), F.split_part("pair", F.lit(" "), F.lit(2)).alias("second")))
+    small = F.col("first").rlike(r"^\p{Ll}")
+    things = parts.groupBy("second").agg(F.count_if(small).alias("low"), F.count_if(~small).alias("high")).where("low > high").select("second", F.lit(True).alias("thing"))
     stop = frozenset(t.title() for t in (*TITLES, *given))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = Rarity(path)
         for batch in batches:
-            both = [(a, b) for a, _, b in (x.partition(" ") for x in batch.column(0).to_pylist()) if a not in stop]
-            known = [b.lower() in given for _, b in both]
-            rare = [not k and rarity(b) >= RARE for (_, b), k in zip(both, known)]
-            yield pa.RecordBatch.from_pydict({"word": pa.array([plain(a) for a, _ in both], pa.string()), "first": pa.array([a for a, _ in both], pa.string()), "known": pa.array(known, pa.bool_()), "rare": pa.array(rare, pa.bool_())})
+            both = [(a, b, t) for a, b, t in zip(*(c.to_pylist() for c in batch.columns)) if a not in stop]
+            known = [b.lower() in given for _, b, _ in both]
+            rare = [not k and not t and rarity(b) >= RARE for (_, b, t), k in zip(both, known)]
+            yield pa.RecordBatch.from_pydict({"word": pa.array([plain(a) for a, *_ in both], pa.string()), "first": pa.array([a for a, *_ in both], pa.string()), "known": pa.array(known, pa.bool_()), "rare": pa.array(rare, pa.bool_())})
 
-    used = pairs.mapInArrow(run, "word STRING, first STRING, known BOOLEAN, rare BOOLEAN")
+    used = parts.where(~small).join(things, "second", "left").select("first", "second", "thing").mapInArrow(run, "word STRING, first STRING, known BOOLEAN, rare BOOLEAN")
     words = used.groupBy("word", "first").agg(F.count_if("rare").alias("partners"), F.count("*").alias("n"), F.count_if("known").alias("known"))
     # what stands before given names is no given name itself
     return words.where((F.col("partners") >= LEARN_PARTNERS) & (F.col("partners") >= LEARN_SHARE * F.col("n")) & (F.col("known") <= 0.1 * F.col("n"))).select("word").distinct()
