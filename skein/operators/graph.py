@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import word_count
+from skein.plans.passes import in_passes
 
 
 def canonical_by_name(entities: DataFrame) -> DataFrame:
@@ -78,12 +79,11 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     The names are searched for by an Aho-Corasick automaton, in blocks of bounded size with one pass over the texts a
     block; blank names and null texts have no matches.
     """
-    found = None
-    for block in _blocks(names.select(F.lower(name).alias("n")).where("trim(n) != ''").distinct()):
-        shared = texts.sparkSession.sparkContext.broadcast(block)
-        part = texts.select(key, F.lower(text).alias("__text")).where("__text is not null").mapInArrow(_searcher(shared, key), f"{key} {texts.schema[key].dataType.simpleString()}, name STRING")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+
+    def search(shared) -> DataFrame:
+        return texts.select(key, F.lower(text).alias("__text")).where("__text is not null").mapInArrow(_searcher(shared, key), f"{key} {texts.schema[key].dataType.simpleString()}, name STRING")
+
+    return in_passes(texts.sparkSession, _blocks(names.select(F.lower(name).alias("n")).where("trim(n) != ''").distinct()), search).distinct()
 
 
 def entity_mentions(concepts: DataFrame, entities: DataFrame, key: str = "id", text: str = "content") -> DataFrame:

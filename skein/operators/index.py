@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.guards import once
 from skein.functions.text import body, front_matter, tokens
+from skein.plans.passes import in_passes
 
 K1, B = 1.5, 0.75
 
@@ -132,21 +133,23 @@ def nearest_each(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
     over the vectors a block; a task keeps the k best of each query. Vectors and queries that are null, hold a null or have
     no finite length above 0 have no rows; vectors of another dimension than the query's aren't compared with it.
     """
-    found, block = None, []
     asked = queries.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).groupBy(key).agg(F.min(vector).alias("q"))
 
-    def searched(block: list[tuple], found: DataFrame | None) -> DataFrame:
-        shared = vectors.sparkSession.sparkContext.broadcast(block)
+    def blocks() -> Iterator[list[tuple]]:
+        block, any_ = [], False
+        for row in asked.toLocalIterator():
+            block.append((row[key], row.q))
+            if len(block) == QUERY_BLOCK:
+                yield block
+                block, any_ = [], True
+        if block or not any_:
+            yield block
+
+    def search(shared) -> DataFrame:
         own = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint"), F.col(vector).cast("array<double>"))
-        part = own.mapInArrow(_nearest(shared, k, key), f"query BIGINT, {key} BIGINT, similarity DOUBLE")
-        return part if found is None else found.unionByName(part)
-
-    for row in asked.toLocalIterator():
-        block.append((row[key], row.q))
-        if len(block) == QUERY_BLOCK:
-            found, block = searched(block, found), []
-    if block or found is None:
-        found = searched(block, found)
+        return own.mapInArrow(_nearest(shared, k, key), f"query BIGINT, {key} BIGINT, similarity DOUBLE")
+
+    found = in_passes(vectors.sparkSession, blocks(), search)
     own = Window.partitionBy("query").orderBy(F.desc(F.round("similarity", 9)), key)
     return found.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query", key, "rank", "similarity")
 
