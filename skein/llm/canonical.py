@@ -237,12 +237,16 @@ def look_alike_classes(documents: DataFrame, key: str = "doc_id", text: str = "t
 def look_alike_pairs(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(<key>_a, <key>_b), a < b: pairs whose texts differ as stored but look the same.
 
-    Classes of one stored text, however many copies it has, are dropped before any join, by counting per text and then
-    per class; so the join holds just the rows that have a partner.
+    Classes of one stored text, however many copies it has, are dropped before any join. Then different texts of a class
+    meet, and only then the documents of both: no more rows arise than come out.
     """
     # the texts are read once; what is kept of them is three short columns
     rows = checkpoint(look_alike_classes(documents, key, text)).distinct()
     mixed = rows.groupBy("class_key").agg(F.min("text_key").alias("low"), F.max("text_key").alias("high")).where("low != high").select("class_key")
     own = rows.join(mixed, "class_key", "left_semi")
-    a, b = (own.select("class_key", F.col("text_key").alias(f"text_{x}"), F.col(key).alias(f"{key}_{x}")) for x in "ab")
-    return a.join(b, "class_key").where(F.expr(f"text_a != text_b and {key}_a < {key}_b")).select(f"{key}_a", f"{key}_b").distinct()
+    forms = own.select("class_key", "text_key").distinct()
+    a, b = (forms.select("class_key", F.col("text_key").alias(f"text_{x}")) for x in "ab")
+    differ = a.join(b, "class_key").where("text_a < text_b").select("text_a", "text_b")
+    first, second = (own.select(F.col("text_key").alias(f"text_{x}"), F.col(key).alias(f"key_{x}")) for x in "ab")
+    pairs = differ.join(first, "text_a").join(second, "text_b").where("key_a != key_b")
+    return pairs.select(F.least("key_a", "key_b").alias(f"{key}_a"), F.greatest("key_a", "key_b").alias(f"{key}_b")).distinct()

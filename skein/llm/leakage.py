@@ -5,7 +5,7 @@ cut into words, vectorially; words outside the items' vocabulary end every match
 shard's suffix array. Every suffix of every item is then searched in it. The corpus is not shuffled.
 
 The items are a stated query set: they are sent to the tasks in blocks of at most ``BLOCK_POINTS`` characters, whatever
-their number, with one pass over the corpus a block.
+their number, with one pass over the corpus a block, one after the other.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.canonical import POINTS, canonical_points, gather, slices, to_points
+from skein.plans.passes import in_passes
 
 MIN_WORDS = 10
 #: Known words that one suffix array holds at most (a single longer document aside).
 SHARD_WORDS = 1_000_000
+#: Places in a shard at which passages are compared at once.
+SPREAD_PLACES = 2_000_000
 #: Characters of items sent to the tasks at once.
 BLOCK_POINTS = 8_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -120,7 +123,17 @@ class Items:
         low = self._bound(order, padded, False)
         high = self._bound(order, padded, True)
         count = high - low
-        hit = np.flatnonzero(count[self.head_of] > 0)
+        hits = np.flatnonzero(count[self.head_of] > 0)
+        # passages that repeat are spread out a bounded number of places at a time
+        ends = np.cumsum(count[self.head_of[hits]])
+        begin = 0
+        while begin < len(hits):
+            base = ends[begin - 1] if begin else 0
+            to = max(begin + 1, int(np.searchsorted(ends, base + SPREAD_PLACES, "right")))
+            yield self._spread(hits[begin:to], low, count, order, padded, owner, place)
+            begin = to
+
+    def _spread(self, hit: np.ndarray, low: np.ndarray, count: np.ndarray, order: np.ndarray, padded: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         n = count[self.head_of[hit]]
         which = np.repeat(hit, n)
         at = order[np.repeat(low[self.head_of[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
@@ -130,7 +143,7 @@ class Items:
             s, e = self.starts[which[live]] + words[live], self.end[which[live]]
             live = live[(s < e) & (mine[np.minimum(s, len(mine) - 1)] == padded[at[live] + words[live]])]
             words[live] += 1
-        yield owner[at], self.ids[self.item[which]], words, place[at], self.starts[which] - (self.end[which] - np.bincount(self.item, minlength=len(self.ids))[self.item[which]] - self.min_words + 1)
+        return owner[at], self.ids[self.item[which]], words, place[at], self.starts[which] - (self.end[which] - np.bincount(self.item, minlength=len(self.ids))[self.item[which]] - self.min_words + 1)
 
     def _bound(self, order: np.ndarray, padded: np.ndarray, right: bool) -> np.ndarray:
         low, high = np.zeros(len(self.heads), np.int64), np.full(len(self.heads), len(order))
@@ -164,12 +177,12 @@ def matches(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS,
     Words are runs of letters and digits of the canonical form, without regard to case. Null or empty texts match
     nothing; items of fewer than ``min_words`` words can't leak. Ties go to the first place in the document, then the item.
     """
-    spark = documents.sparkSession
-    found = None
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(Items(*block, min_words))
-        part = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("text is not null").mapInArrow(_searcher(shared, min_words), "doc BIGINT, item_id BIGINT, words INT, doc_word INT, item_word INT")
-        found = part if found is None else found.unionByName(part)
+
+    def search(shared) -> DataFrame:
+        own = documents.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).where("text is not null")
+        return own.mapInArrow(_searcher(shared, min_words), "doc BIGINT, item_id BIGINT, words INT, doc_word INT, item_word INT")
+
+    found = in_passes(documents.sparkSession, (Items(*block, min_words) for block in item_blocks(items)), search)
     best = found.groupBy("doc", "item_id").agg(F.max(F.struct("words", (-F.col("doc_word")).alias("d"), (-F.col("item_word")).alias("i"))).alias("m"))
     return best.select(F.col("doc").alias(key), "item_id", F.col("m.words").alias("words"), (-F.col("m.d")).alias("doc_word"), (-F.col("m.i")).alias("item_word"))
 

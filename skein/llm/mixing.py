@@ -1,6 +1,6 @@
 """Problem 9: a mix of sources whose tokens follow target shares, repeating no document more often than its source allows.
 
-The documents of a source are shuffled by a hash and cut into blocks of equal tokens. A low-discrepancy schedule (the van
+The documents of a source are shuffled by a hash and cut into blocks of equal tokens, sized by source. A low-discrepancy schedule (the van
 der Corput points of the slots' numbers, mapped through the cumulative weights) says which source each slot of the mix
 takes its next block from; slots are ranked within their source and joined to its blocks. A source of any share of all
 rows is ranked and summed in blocks, never by one task.
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,7 +23,7 @@ from skein.plans.blocks import running_sum, with_block
 from skein.session import checkpoint
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-#: Tokens of a block, if the smallest source still has MIN_BLOCKS blocks.
+#: Tokens of a source's blocks, if it still has MIN_BLOCKS of them; blocks of smaller sources are smaller.
 BLOCK_TOKENS, MIN_BLOCKS = 8192, 256
 #: Slots that are ranked by one task.
 SLOT_BLOCK = 100_000
@@ -90,6 +90,15 @@ def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], total: i
     return total, [(s, share[s], r) for s, _, r in live]
 
 
+def block_tokens(total: int) -> int:
+    """Tokens of each block of a source of so many tokens."""
+    return max(1, min(BLOCK_TOKENS, total // MIN_BLOCKS))
+
+
+def _literals(values: dict[str, int]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))
+
+
 def schedule(spark, slots: int, shares: list[tuple[str, float, int]]) -> DataFrame:
     """(slot, source, max_repeats, nth): which source each slot draws from, and its how manieth of that source it is."""
     bits = max(1, math.ceil(math.log2(max(slots, 2))))
@@ -119,11 +128,14 @@ def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed
     size, shares = plan(totals, [(r.source, r.t.target_share, r.t.max_repeats) for r in goal.collect()], total)
     if not shares:
         return spark.createDataFrame([], f"slot BIGINT, source STRING, repeat BIGINT, {key} {documents.schema[key].dataType.simpleString()}, tokens BIGINT")
-    block = max(1, min(BLOCK_TOKENS, min(totals[s] for s, _, _ in shares) // MIN_BLOCKS))
+    block = {s: block_tokens(totals[s]) for s, _, _ in shares}
+    # a source with smaller blocks has its slots more often
+    drawn = {s: w / block[s] for s, w, _ in shares}
+    often = sum(drawn.values())
     placed = running_sum(with_block(own, ["source"], "h", out="part"), ["source"], "part", ["h", key], "tokens", "before")
-    blocks = placed.withColumn("nth_block", F.floor(F.col("before") / block))
-    count = F.create_map(*(F.lit(x) for s, _, _ in shares for x in (s, -(-totals[s] // block))))
-    slots = schedule(spark, size // block, shares).withColumn("blocks", F.element_at(count, F.col("source")))
+    blocks = placed.withColumn("nth_block", F.floor(F.col("before") / F.element_at(_literals(block), F.col("source"))))
+    count = _literals({s: -(-totals[s] // block[s]) for s in block})
+    slots = schedule(spark, int(size * often), [(s, drawn[s] / often, r) for s, _, r in shares]).withColumn("blocks", F.element_at(count, F.col("source")))
     slots = slots.select("slot", "source", "max_repeats", F.floor(F.col("nth") / F.col("blocks")).alias("repeat"), (F.col("nth") % F.col("blocks")).alias("nth_block")).where("repeat < max_repeats")
     return slots.join(blocks, ["source", "nth_block"]).select("slot", "source", "repeat", key, "tokens")
 

@@ -32,6 +32,7 @@ def test_equals_brute_force(spark, monkeypatch):
     items = [(i, text(r.randint(2, 14))) for i in range(12)] + [(90, None), (91, "")]
     docs = [(i, text(r.randint(0, 40))) for i in range(60)] + [(70, None), (71, ""), (72, items[0][1].upper().replace(" ", ", ")), (72, items[0][1].upper().replace(" ", ", "))]
     monkeypatch.setattr(L, "BLOCK_POINTS", 40)
+    monkeypatch.setattr(L, "SPREAD_PLACES", 3)
     df, ds = spark.createDataFrame(docs, "doc_id BIGINT, text STRING"), spark.createDataFrame(items, "item_id BIGINT, text STRING")
     got = {(x.doc_id, x.item_id): x.words for x in L.matches(df, ds, min_words=5).collect()}
     assert got == brute(docs, items, 5)

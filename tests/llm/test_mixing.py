@@ -47,6 +47,19 @@ def test_mix(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, M.mix(spark.createDataFrame(docs, DOCS), targets).collect()))
 
 
+def test_a_small_source_leaves_the_others_blocks_alone(spark, monkeypatch):
+    assert (M.block_tokens(1000), M.block_tokens(10**12), M.block_tokens(3)) == (3, 8192, 1)
+    monkeypatch.setattr(M, "MIN_BLOCKS", 4)
+    docs = [(i, "big", "word " * 50, 0) for i in range(400)] + [(1000 + i, "tiny", "word " * 5, 0) for i in range(4)]
+    targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 100)], TARGETS)
+    rows = M.mix(spark.createDataFrame(docs, DOCS), targets).collect()
+    total = sum(r.tokens for r in rows)
+    assert abs(sum(r.tokens for r in rows if r.source == "tiny") / total - 0.1) < 0.02
+    # slots of the large source hold its own block size, not that of the tiny one
+    slots = Counter(r.slot for r in rows if r.source == "big")
+    assert len(slots) <= 8 and max(slots.values()) > 50
+
+
 def test_empty(spark):
     docs, targets = spark.createDataFrame([], DOCS), spark.createDataFrame([("a", 1.0, 1)], TARGETS)
     assert M.mix(docs, targets).count() == 0

@@ -42,16 +42,18 @@ def test_trie_join(spark, words, size, monkeypatch):
 
 def test_readings():
     given = {"alexander", "bruno", "celia", "sasha"}
-    assert N.person("Dr. Bruno K. Vandorp Jr.", given) == [("vandorp", "bruno", "full")]
-    assert N.person("Vandorp, Bruno", given) == [("vandorp", "bruno", "full")]
-    assert N.person("Vandorp B.K.", given) == [("vandorp", "b", "initial")]
-    assert N.person("Bru. Vandorp", given) == [("vandorp", "bru", "short")]
-    assert N.person("bruno.vandorp", given) == [("vandorp", "bruno", "full")]
-    assert ("vandorp", "b", "glued") in N.person("bvandorp", given)
-    assert N.person("  Bruno  Vandorp - PM", given) == N.person("Bruno Vandorp (she)", given) == [("vandorp", "bruno", "full")]
-    assert N.organisation("The Vandorp Foods Gesellschaft mbH", given)[0] == ("vandorp", "foods", "full")
-    assert N.organisation("VandorpFoods GmbH", given)[0] == ("vandorp", "foods", "full")
-    assert N.organisation("Vandorp GmbH", given) == [("vandorp", "", "none")]
+    assert N.person("Dr. Bruno K. Vandorp Jr.", given) == [("vandorp", "bruno", "full", "")]
+    assert N.person("Vandorp, Bruno", given) == [("vandorp", "bruno", "full", "")]
+    assert N.person("Vandorp B.K.", given) == [("vandorp", "b", "initial", "")]
+    assert N.person("Bru. Vandorp", given) == [("vandorp", "bru", "short", "")]
+    assert N.person("bruno.vandorp", given) == [("vandorp", "bruno", "full", "")]
+    assert ("vandorp", "b", "glued", "") in N.person("bvandorp", given)
+    assert N.person("  Bruno  Vandorp - PM", given) == N.person("Bruno Vandorp (she)", given) == [("vandorp", "bruno", "full", "")]
+    assert N.organisation("The Vandorp Foods Gesellschaft mbH", given)[1] == ("vandorp", "foods", "full", "")
+    assert N.organisation("VandorpFoods GmbH", given)[1] == ("vandorp", "foods", "full", "")
+    assert N.organisation("Vandorp GmbH", given) == [("vandorp", "", "none", "")]
+    assert N.organisation("Acme North Logistics Ltd", given)[0] == ("logistics", "acme", "full", "north")
+    assert N.person("Bruno Lopez Vandorp", given) == [("lopez", "bruno", "full", "vandorp"), ("vandorp", "bruno", "full", "lopez")]
     assert N.person("", given) == [] and N.organisation("- &", given) == []
 
 
@@ -61,7 +63,9 @@ PEOPLE = {
     "alex": ["Alexander Okrimusta", "Sasha Okrimusta", "A. Okrimusta", "Mr. Alexander Okrimsta"],
     "delia": ["Delia Okrimusta"],
 }
-FIRMS = {"foods": ["Trivenka Foods Inc.", "Foods Trivenka", "Trivenka & Fodos", "trivenka-foods", "Trivenka Fds", "TrivenkaFoods Inc."], "press": ["Trivenka Press Ltd", "The Trivenka Press Limited"]}
+MORE = {"maria": ["Celia Maria Opplefrutz", "Opplefrutz Celia Maria", "Celia Maria Oplefrutz", "Opplefrutz, Maria Celia"], "lopez": ["Celia Lopez Opplefrutz"], "lone": ["Delia Sabine Ukkermoltz", "Delia Ukkermoltz"]}
+PEOPLE |= MORE
+FIRMS = {"north": ["Acme North Logistics", "Logistics Acme North", "ACME NORTH LOGISTICS LTD"], "south": ["Acme South Logistics"], "foods": ["Trivenka Foods Inc.", "Foods Trivenka", "Trivenka & Fodos", "trivenka-foods", "Trivenka Fds", "TrivenkaFoods Inc."], "press": ["Trivenka Press Ltd", "The Trivenka Press Limited"]}
 
 
 def test_linking(spark):
