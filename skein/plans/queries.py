@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.functions.jsons import readable
-from skein.operators import graph, index, similar, topics
+from skein.operators import graph, index, similar, stored, topics
 from skein.plans.blocks import last_known
 from skein.session import table
 from skein.vocab import CONCEPT_PATTERNS, DOMAINS, EVENT_TYPES, NEGATIONS, NOTE_FOLDERS, REPLACING, STOP_WORDS, TOOLS, TOPICS
@@ -214,17 +214,42 @@ _BM25 = f"{_IDF}, {_Q}, dl AS (SELECT doc_id, round_even(1 / min(tf), 0) AS dl F
 @query(f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
 def bm25_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents by BM25."""
-    scored = index.bm25(table(spark, folder, "documents"), QUERY)
+    scored = stored.kept_index(table(spark, folder, "documents")).bm25(QUERY)
     return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_IDF}, {_Q}, qc AS (SELECT term, count(*) / {float(len(_TERMS))} AS tf FROM q GROUP BY term), qn AS (SELECT sqrt(sum((qc.tf * idf.idf) ** 2)) AS n FROM qc JOIN idf USING (term)), nm AS (SELECT doc_id, sqrt(sum((tf.tf * idf.idf) ** 2)) AS n FROM tf JOIN idf USING (term) GROUP BY doc_id), dt AS (SELECT doc_id, sum(tf.tf * idf.idf * qc.tf * idf.idf) AS d FROM tf JOIN idf USING (term) JOIN qc USING (term) GROUP BY doc_id) SELECT doc_id, round(d / (nm.n * qn.n), 6) AS score FROM dt JOIN nm USING (doc_id), qn ORDER BY round(d / (nm.n * qn.n), 9) DESC, doc_id LIMIT 10")
 def tfidf_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents by the cosine of tf-idf vectors."""
-    scored = index.tfidf_cosine(_posted(spark, folder), QUERY, table(spark, folder, "documents").count())
+    scored = stored.kept_index(table(spark, folder, "documents")).cosine(QUERY)
     return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_META = "SELECT doc_id, map_from_entries(list_transform(list_filter(string_split(CASE WHEN starts_with(text, '---') AND position(chr(10) || '---' IN substring(text, 4)) > 0 THEN substring(text, 4, position(chr(10) || '---' IN substring(text, 4)) - 1) ELSE '' END, chr(10)), lambda l: contains(l, ':')), lambda l: struct_pack(k := trim(split_part(l, ':', 1)), v := trim(substring(l, position(':' IN l) + 1))))) AS m FROM documents"
+_FIELDS = f"fields AS (SELECT doc_id, coalesce(nullif(m['type'], ''), nullif(note_type, ''), CASE {_NOTE_CASE} ELSE 'note' END) AS kind, coalesce(m['domain'], m['category'], '') AS domain, coalesce(m['tags'], '') AS tags FROM documents JOIN ({_META}) USING (doc_id))"
+
+
+@query(f"WITH {_FIELDS} SELECT doc_id, kind, domain, tags FROM fields")
+def note_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """What searches filter on."""
+    return stored.note_fields(table(spark, folder, "documents")).select("doc_id", "kind", "domain", "tags")
+
+
+@query(f"WITH {_BM25}, {_FIELDS} SELECT doc_id, round(score, 6) AS score FROM bm JOIN fields USING (doc_id) WHERE contains(lower(kind), 'decis') AND contains(lower(tags), 'design') ORDER BY round(score, 9) DESC, doc_id LIMIT 10")
+def bm25_filtered(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best decisions with a tag by BM25: filters come before scoring."""
+    scored = stored.kept_index(table(spark, folder, "documents")).bm25(QUERY, kind="Decis", tags="DESIGN")
+    return scored.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(10).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_IDF} SELECT sum(df)::BIGINT AS postings, count(*) AS terms, {_N} AS documents FROM idf")
+def index_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Postings, terms and documents of the stored index."""
+    own = stored.kept_index(table(spark, folder, "documents"))
+    terms = own.table("terms").agg(F.sum("df").alias("postings"), F.count("*").alias("terms"))
+    return terms.join(own.table("stats").select(F.col("n_docs").cast("bigint").alias("documents")))
+
+
 _NEAR = "SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1)) AS similarity FROM embeddings"
 
 
@@ -248,7 +273,7 @@ def vector_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {_BM25}, v AS (SELECT vec_id AS doc_id, 1 / (2 - similarity) AS close FROM ({_NEAR}) ORDER BY round(similarity, 9) DESC, vec_id LIMIT 30), f AS (SELECT coalesce(bm.doc_id, v.doc_id) AS doc_id, coalesce(score / (SELECT max(score) FROM bm), 0) * 0.7 + coalesce(close / (SELECT max(close) FROM v), 0) * 0.3 AS s FROM bm FULL JOIN v ON bm.doc_id = v.doc_id) SELECT doc_id, round(s, 5) AS score FROM f ORDER BY round(s, 8) DESC, doc_id LIMIT 10")
 def hybrid_top(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents by lexical and vector scores together; a vector belongs to the document of its number."""
-    lexical = index.bm25(table(spark, folder, "documents"), QUERY)
+    lexical = stored.kept_index(table(spark, folder, "documents")).bm25(QUERY)
     near = index.nearest(table(spark, folder, "embeddings"), _vector(spark, folder), 30).withColumnRenamed("vec_id", "doc_id")
     return index.fuse(lexical, near, 10).select("doc_id", F.round("score", 5).alias("score"))
 
