@@ -69,7 +69,10 @@ class Index:
     def table(self, name: str) -> DataFrame:
         """One of the tables; its files are listed once."""
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}")
+            # partitioned tables without rows have no file to tell their columns
+            own = {"postings": lambda: f"term STRING, {self.key} {self.table('notes').schema[self.key].dataType.simpleString()}, n BIGINT, tf DOUBLE, dl BIGINT, norm DOUBLE, bucket INT", "terms": lambda: "term STRING, df BIGINT, idf DOUBLE, bucket INT"}
+            reader = self.spark.read.schema(own[name]()) if name in own else self.spark.read
+            self._tables[name] = reader.parquet(f"{self.folder}/{name}")
         return self._tables[name]
 
     def of_terms(self, name: str, terms: list[str]) -> DataFrame:
