@@ -72,9 +72,10 @@ def stage_counts(cache: DataFrame) -> DataFrame:
 
 def grounded(quote: Column, text: Column, share: float = 0.8) -> Column:
     """Whether a quote stands in a text: as it is, without regard to case, or with ``share`` of its different words in some
-    stretch of as many words. Null or blank quotes don't."""
+    stretch of as many words, which the text must have at least. Null or blank quotes don't."""
     words = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     q, t = F.array_distinct(words(quote)), words(text)
     n = F.size(q)
-    stretch = F.exists(F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1))), lambda i: F.size(F.array_intersect(q, F.slice(t, i, n))) >= share * n)
+    starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.greatest(F.size(t) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    stretch = F.exists(starts, lambda i: F.size(F.array_intersect(q, F.slice(t, i, n))) >= share * n)
     return F.coalesce((n > 0) & (F.contains(F.lower(text), F.lower(F.trim(quote))) | stretch), F.lit(False))

@@ -212,20 +212,30 @@ def to_index(notes: DataFrame, indexed: DataFrame, path: str = "path", text: str
     return hashed.join(indexed.select(path, "content_hash"), [path, "content_hash"], "left_anti")
 
 
-def context(results: list[dict], budget: int = 4000, per_result: int = 300) -> str:
-    """Sections of at most fifty ranked results, as many as fit the token budget (four characters a token).
+def section(rank: int, r: dict, chars: int) -> str:
+    """One result: rank, title and score, a block of what is known of it, and its snippet cut at a space to so many characters."""
+    known = [f"{k}: {r[k]}" for k in ("type", "domain", "tags") if r.get(k)] + [f"source: {(r.get('path') or '').rsplit('/', 1)[-1]}"]
+    text = r.get("snippet") or ""
+    if len(text) > chars:
+        text = text[:chars].rsplit(" ", 1)[0] + "…"
+    return "\n".join([f"## [{rank}] {r.get('title') or ''}  (score: {r.get('score') or 0:.3f})", "```yaml", *known, "```", *([text] if text else []), ""])
 
-    The first section that doesn't fit is shortened to what is left if that is at least fifty tokens; then it ends.
+
+def context(results: list[dict], query: str | None = None, budget: int = 4000, per_result: int = 300) -> str:
+    """Sections of at most fifty ranked results below a header, as many as fit the token budget (four characters a token).
+
+    A section that doesn't fit is tried once more with a shorter snippet; if that doesn't fit either, it ends there.
     """
-    size = lambda t: max(1, len(t) // 4)
-    out, left = [], budget
+    if not results:
+        return ""
+    header = f"# Vault context for: {query}\n\n" if query else ""
+    left, out = budget * 4 - len(header), []
     for rank, r in enumerate(results[:50], 1):
-        cut = (r.get("snippet") or "")[: per_result * 4]
-        section = f"[{rank}] {r.get('title') or r.get('path') or ''}\n{cut}\n"
-        if size(section) > left:
-            if left >= 50:
-                out.append(section[: left * 4])
+        own = section(rank, r, per_result * 4)
+        if len(own) > left:
+            own = section(rank, r, max(200, left - 300))
+        if len(own) > left:
             break
-        out.append(section)
-        left -= size(section)
-    return "\n".join(out)
+        out.append(own)
+        left -= len(own)
+    return (header + "\n".join(out)).strip()

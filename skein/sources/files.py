@@ -10,6 +10,7 @@ conversation's order is worked out within its row, without a shuffle.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,8 +25,10 @@ ROLES = {"human": "user", "user": "user", "assistant": "assistant", "model": "as
 SHIMS = ("<environment_context>", "<permissions instructions>")
 
 
-def read_texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, text) of the files below a folder whose names fit the pattern, or of one file."""
+def read_texts(spark: SparkSession, path: str | DataFrame, pattern: str) -> DataFrame:
+    """(path, text) of the files below a folder whose names fit the pattern, or of one file; a DataFrame of that form is taken as it is."""
+    if isinstance(path, DataFrame):
+        return path.select("path", "text")
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -63,10 +66,14 @@ def _time(v: Column) -> Column:
 
 
 def _tables(heads: DataFrame, platform: str, least: int) -> tuple[DataFrame, DataFrame]:
-    """Both tables from (path, id, title, created_at, ms), ms an array of (ts, n, id, role, content, model)."""
+    """Both tables from (path, id, title, created_at, ms[, head_model]), ms an array of (ts, n, id, role, content, model).
+
+    A conversation's model is the one of its head, else the first that a message names.
+    """
     sound = F.filter("ms", lambda m: m["role"].isNotNull() & (F.trim(m["content"]) != ""))
     ordered = heads.where("id is not null").withColumn("ms", once(F.array_sort(sound))).where(F.size("ms") >= least)
     model = F.get(F.filter(F.transform("ms", lambda m: m["model"]), lambda x: x.isNotNull()), F.lit(0))
+    model = F.coalesce(F.nullif("head_model", F.lit("")), model) if "head_model" in heads.columns else model
     conversations = ordered.select("path", "id", "title", F.lit(platform).alias("platform"), "created_at", model.alias("model"))
     each = ordered.select("path", F.col("id").alias("conversation_id"), F.posexplode("ms").alias("position", "m"))
     return conversations, each.select("path", "conversation_id", "position", "m.id", "m.role", "m.content", "m.ts", "m.model")
@@ -76,7 +83,7 @@ def _message(ts: Column, n: Column, id_: Column, role: Column, content: Column,
     return F.struct(ts.alias("ts"), n.alias("n"), id_.alias("id"), role.alias("role"), content.alias("content"), model.alias("model"))
 
 
-def claude(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def claude(spark: SparkSession, path: str | DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """chat_messages with sender, text or content; a list, a 'conversations' list or one object a file."""
     c = _envelope(read_texts(spark, path, "*.json"), "conversations")
 
@@ -89,20 +96,19 @@ def claude(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, D
     return _tables(heads.where("created_at is not null"), "claude", least)
 
 
-def gemini(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """entries with role and parts; the model of the header counts where a message names none."""
+def gemini(spark: SparkSession, path: str | DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """entries with role and parts; a conversation's model is the model slug of its header, else of its first message that has one."""
     c = _envelope(read_texts(spark, path, "*.json"), "conversations")
 
     def message(m: Column, n: Column) -> Column:
-        model = F.coalesce(_get(m, "$.metadata.model"), _get("c", "$.metadata.model"))
-        return _message(_time(_get(m, "$.create_time")), n, _get(m, "$.id"), _role(_get(m, "$.role")), _joined(_get(m, "$.parts", "variant")), model)
+        return _message(_time(_get(m, "$.create_time")), n, _get(m, "$.id"), _role(_get(m, "$.role")), _joined(_get(m, "$.parts", "variant")), _get(m, "$.metadata.model_slug"))
 
     ms = F.transform(_get("c", "$.entries", "array<variant>"), message)
-    heads = c.select("path", _get("c", "$.id").alias("id"), _get("c", "$.name").alias("title"), _time(_get("c", "$.create_time")).alias("created_at"), ms.alias("ms"))
+    heads = c.select("path", _get("c", "$.id").alias("id"), _get("c", "$.name").alias("title"), _time(_get("c", "$.create_time")).alias("created_at"), _get("c", "$.metadata.model_slug").alias("head_model"), ms.alias("ms"))
     return _tables(heads, "gemini", least)
 
 
-def chatgpt(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def chatgpt(spark: SparkSession, path: str | DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """mapping trees: from the first root along first children to a leaf; a cycle ends after as many steps as there are nodes."""
     c = _envelope(read_texts(spark, path, "*.json"), "conversations")
     c = c.withColumn("m", once(_get("c", "$.mapping", "map<string, variant>"))).where("m is not null")
@@ -144,7 +150,7 @@ def _grouped(rows: DataFrame, platform: str, least: int, **heads: Column) -> tup
     return _last_file(*_tables(gathered, platform, least))
 
 
-def cowork(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def cowork(spark: SparkSession, path: str | DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Agent sessions of JSON lines; side chains, audit files and files of sub-agents are left out, thinking is dropped."""
     files = read_texts(spark, path, "*.jsonl").where(~F.col("path").rlike(r"(?:^|/)audit[^/]*\.jsonl$|subagents"))
     v = _lines(files)
@@ -164,7 +170,7 @@ def cowork(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, D
     return _grouped(rows, "cowork", least, id=session, title=F.coalesce(last_part, session), created_at=F.min("ts"))
 
 
-def codex(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+def codex(spark: SparkSession, path: str | DataFrame, least: int = 2) -> tuple[DataFrame, DataFrame]:
     """Sessions of rollout-*.jsonl; texts put in by the client are dropped, calls and outputs are of role tool, and the model
     is that of the last turn context. Sessions without a real user message are left out."""
     v = _lines(read_texts(spark, path, "rollout-*.jsonl"))
@@ -182,7 +188,7 @@ def codex(spark: SparkSession, path: str, least: int = 2) -> tuple[DataFrame, Da
     return conversations.join(asked, "id", "left_semi").select(*conversations.columns), messages.join(asked.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_semi").select(*messages.columns)
 
 
-def calendar(spark: SparkSession, path: str) -> DataFrame:
+def calendar(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, day, id, title, kind, starts, ends, location, attendees) of events; cancelled and undated ones are left out. The day
     is the one of the event's own offset."""
     e = _envelope(read_texts(spark, path, "*.json"), "items", "events").withColumnRenamed("c", "e")
@@ -194,7 +200,7 @@ def calendar(spark: SparkSession, path: str) -> DataFrame:
     return out.where("day is not null")
 
 
-def vault(spark: SparkSession, path: str) -> DataFrame:
+def vault(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """(path, title, meta, body, content_hash) of Markdown notes; the title is the front matter's or the file's name."""
     files = read_texts(spark, path, "*.md")
     meta = front_matter(F.col("text"))
@@ -205,9 +211,16 @@ def vault(spark: SparkSession, path: str) -> DataFrame:
 READERS: dict[str, Callable[..., tuple[DataFrame, DataFrame]]] = {"claude": claude, "chatgpt": chatgpt, "gemini": gemini, "cowork": cowork, "codex": codex}
 
 
-def ingest(spark: SparkSession, sources: dict[str, str], least: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Both tables of several platforms: {platform: path}. An unknown platform is an error."""
-    parts = [READERS[platform](spark, path, least) for platform, path in sources.items()]
+def ingest(spark: SparkSession, sources: dict[str, str | DataFrame], least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Both tables of several platforms: {platform: path}. Unknown platforms are warned of and left out."""
+    parts = []
+    for platform, path in sources.items():
+        if platform in READERS:
+            parts.append(READERS[platform](spark, path, least))
+        else:
+            warnings.warn(f"no reader for {platform!r}: left out", stacklevel=2)
+    if not parts:
+        parts = [READERS["claude"](spark, spark.createDataFrame([], "path STRING, text STRING"), least)]
     conversations, messages = parts[0]
     for c, m in parts[1:]:
         conversations, messages = conversations.unionByName(c), messages.unionByName(m)

@@ -91,8 +91,14 @@ def test_vectors_and_fusion(spark):
 
 def test_context_fits_budget():
     results = [{"title": f"t{i}", "snippet": "x" * 1200} for i in range(60)]
-    assert len(index.context(results, 1000)) <= 4000 + 10
-    assert index.context([], 100) == ""
+    got = index.context(results, "q", budget=1000)
+    assert len(got) <= 4000 and got.startswith("# Vault context for: q\n\n## [1] t0") and "## [2]" in got
+    assert index.context([], "q") == ""
+    one = index.context([{"title": "T", "score": 0.5, "type": "note", "path": "a/b.md", "snippet": "some words here"}])
+    assert one == "## [1] T  (score: 0.500)\n```yaml\ntype: note\nsource: b.md\n```\nsome words here"
+    # a snippet that doesn't fit is tried again with less of it
+    assert index.context([{"title": "T", "snippet": "w " * 500}], budget=150).endswith("…")
+    assert index.context([{"title": "T", "snippet": "w " * 500}], budget=20) == ""
 
 
 MESSAGES = "conversation_id STRING, position INT, id STRING, role STRING, content STRING, model STRING, tokens INT"

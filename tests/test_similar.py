@@ -89,5 +89,5 @@ def test_prompts_and_grounding(spark):
     assert got["c"].startswith("User: hi\n\nAssistant: yyy") and got["c"].endswith("[...]") and "late" not in got["c"]
     assert got["e"] == "User: "
     text = "We moved the old parser to a new home last night"
-    df = spark.createDataFrame([("OLD parser", text), ("moved the very old parser to", text), ("nothing like it", text), ("", text), (None, text), ("x", None)], "q STRING, t STRING")
-    assert [r[0] for r in df.select(X.grounded(F.col("q"), F.col("t"))).collect()] == [True, True, False, False, False, False]
+    df = spark.createDataFrame([("OLD parser", text), ("moved the very old parser to", text), ("nothing like it", text), ("", text), (None, text), ("x", None), ("one two three four five", "one two three four")], "q STRING, t STRING")
+    assert [r[0] for r in df.select(X.grounded(F.col("q"), F.col("t"))).collect()] == [True, True, False, False, False, False, False]

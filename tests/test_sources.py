@@ -3,7 +3,7 @@ import json
 import pytest
 
 from skein.sources import files, writers
-from skein.streaming.incremental import daily_counts, index_notes
+from skein.streaming.incremental import daily_counts, index_notes, live_postings
 
 
 def put(folder, name, value):
@@ -38,12 +38,15 @@ def test_chatgpt_and_gemini(spark, tmp_path):
     conversations, messages = files.chatgpt(spark, str(tmp_path / "c"))
     assert said(messages, "c") == [("user", "hi", "g"), ("assistant", "yo", "g")]
     assert {r.id for r in conversations.collect()} == {"c", "l"}
-    put(tmp_path / "g", "g.json", {"id": "g", "name": "G", "create_time": "2024-01-01T00:00:00Z", "metadata": {"model": "m"}, "entries": [{"id": "1", "role": "User", "parts": [{"text": "a"}, {"text": "b"}]}, {"id": "2", "role": "Model", "parts": "c"}]})
-    assert said(files.gemini(spark, str(tmp_path / "g"))[1], "g") == [("user", "a\nb", "m"), ("assistant", "c", "m")]
+    put(tmp_path / "g", "g.json", {"id": "g", "name": "G", "create_time": "2024-01-01T00:00:00Z", "metadata": {"model_slug": "m"}, "entries": [{"id": "1", "role": "User", "parts": [{"text": "a"}, {"text": "b"}], "create_time": "2024-01-01T00:00:01Z"}, {"id": "2", "role": "Model", "parts": "c", "metadata": {"model_slug": "own"}, "create_time": "2024-01-01T00:00:02Z"}]})
+    heads, turns = files.gemini(spark, str(tmp_path / "g"))
+    assert said(turns, "g") == [("user", "a\nb", None), ("assistant", "c", "own")] and heads.head().model == "m"
+    bare = spark.createDataFrame([("x", json.dumps({"id": "h", "entries": [{"role": "user", "parts": ["q"]}, {"role": "model", "parts": [{"text": "a"}], "metadata": {"model_slug": "own"}}]})), ("y", None), ("z", "")], "path STRING, text STRING")
+    assert [r.model for r in files.gemini(spark, bare)[0].collect()] == ["own"]
     both, _ = files.ingest(spark, {"chatgpt": str(tmp_path / "c"), "gemini": str(tmp_path / "g")})
     assert both.count() == 3
-    with pytest.raises(KeyError):
-        files.ingest(spark, {"nowhere": "x"})
+    with pytest.warns(UserWarning, match="nowhere"):
+        assert files.ingest(spark, {"nowhere": "x"})[0].count() == 0
 
 
 def lines(*objects):
@@ -124,3 +127,6 @@ def test_streams(spark, tmp_path):
     got = spark.read.parquet(f"{folder}/notes")
     assert sorted((r.path, r.batch) for r in got.collect()) == [("a", 0), ("b", 0), ("b", 1)]
     assert {r.term for r in spark.read.parquet(f"{folder}/postings").where("batch = 1").collect()} == {"quince"}
+    write(("a", None), ("b", "damson"), ("b", "cherry"))
+    start()
+    assert {(r.path, r.term) for r in live_postings(spark, folder).collect()} == {("b", "damson")}
