@@ -31,6 +31,7 @@ def local_session(app: str = "skein", cpus: str | int = "*", partitions: int = 8
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in conf.items():
         builder = builder.config(key, value)
