@@ -24,7 +24,7 @@ from skein.session import checkpoint
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
 #: Tokens of a source's blocks, if it still has MIN_BLOCKS of them; blocks of smaller sources are smaller.
-BLOCK_TOKENS, MIN_BLOCKS = 8192, 256
+BLOCK_TOKENS, MIN_BLOCKS = 8192, 2048
 #: Slots that are ranked by one task.
 SLOT_BLOCK = 100_000
 

@@ -48,7 +48,7 @@ def test_mix(spark):
 
 
 def test_a_small_source_leaves_the_others_blocks_alone(spark, monkeypatch):
-    assert (M.block_tokens(1000), M.block_tokens(10**12), M.block_tokens(3)) == (3, 8192, 1)
+    assert (M.block_tokens(10_000), M.block_tokens(10**12), M.block_tokens(3)) == (4, 8192, 1)
     monkeypatch.setattr(M, "MIN_BLOCKS", 4)
     docs = [(i, "big", "word " * 50, 0) for i in range(400)] + [(1000 + i, "tiny", "word " * 5, 0) for i in range(4)]
     targets = spark.createDataFrame([("big", 0.9, 1), ("tiny", 0.1, 100)], TARGETS)
