@@ -148,7 +148,7 @@ def action_items(text: Column) -> Column:
     """The action items of a free text: marked list lines, 'Action items:' and open checkboxes; null gives null."""
     pattern = "(?id)(?:[-*•]\\s*(?:TODO|Action item|Task|Follow-?up)[:\\s]+(.+)|Action items?:\\s*(.+?)(?:\n|$)|[-*•]\\s*\\[\\s*\\]\\s*(.+))"
     groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
-    each = F.zip_with(F.zip_with(groups[0], groups[1], lambda a, b: F.concat(a, b)), groups[2], lambda a, b: F.trim(F.concat(a, b)))
+    each = F.zip_with(F.zip_with(groups[0], groups[1], lambda a, b: F.concat(a, b)), groups[2], lambda a, b: F.regexp_replace(F.concat(a, b), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     return F.filter(each, lambda x: x != "")
 
 

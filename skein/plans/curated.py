@@ -94,7 +94,7 @@ def event_messages(spark: SparkSession, folder: str) -> DataFrame:
 _ITEM = "(?i)(?:[-*•]\\s*(?:TODO|Action item|Task|Follow-?up)[:\\s]+(.+)|Action items?:\\s*(.+?)(?:\\n|$)|[-*•]\\s*\\[\\s*\\]\\s*(.+))"
 
 
-@query(f"SELECT DISTINCT id, item FROM (SELECT id, unnest(list_transform(list_zip(regexp_extract_all(t, '{_ITEM}', 1), regexp_extract_all(t, '{_ITEM}', 2), regexp_extract_all(t, '{_ITEM}', 3)), lambda z: trim(coalesce(z[1], '') || coalesce(z[2], '') || coalesce(z[3], '')))) AS item FROM (SELECT doc_id AS id, regexp_replace(text, '\\n+$', '') AS t FROM documents WHERE text IS NOT NULL)) WHERE item <> ''")
+@query(f"SELECT DISTINCT id, item FROM (SELECT id, unnest(list_transform(list_zip(regexp_extract_all(t, '{_ITEM}', 1), regexp_extract_all(t, '{_ITEM}', 2), regexp_extract_all(t, '{_ITEM}', 3)), lambda z: regexp_replace(coalesce(z[1], '') || coalesce(z[2], '') || coalesce(z[3], ''), '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))) AS item FROM (SELECT doc_id AS id, regexp_replace(text, '\\n+$', '') AS t FROM documents WHERE text IS NOT NULL)) WHERE item <> ''")
 def note_action_items(spark: SparkSession, folder: str) -> DataFrame:
     """Action items that notes list."""
     own = table(spark, folder, "documents").where("text is not null")
