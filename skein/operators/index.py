@@ -23,15 +23,20 @@ def searchable(documents: DataFrame, text: str = "text") -> Column:
     return F.concat_ws(" ", title, title, F.coalesce(F.try_element_at(meta, F.lit("tags")), F.lit("")), body(F.col(text)))
 
 
-def postings(documents: DataFrame, key: str = "doc_id", text: Column | None = None) -> DataFrame:
-    """(key, term, n, tf): term frequencies, tf the share of the document's terms. Null or empty texts have none.
+def counted(documents: DataFrame, key: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(key, term, n, total): how often each term comes, and the number of the document's terms. Null or empty texts have none.
 
     Terms are counted before they are shuffled; a document's total is summed from its counts.
     """
     split = documents.select(key, tokens(F.col("text") if text is None else text).alias("terms"))
     # the total goes along with each term, so that no second pass or join is needed
     each = split.select(key, F.size("terms").alias("total"), F.explode("terms").alias("term"))
-    return each.groupBy(key, "term").agg(F.count("*").alias("n"), F.max("total").alias("total")).select(key, "term", "n", (F.col("n") / F.col("total")).alias("tf"))
+    return each.groupBy(key, "term").agg(F.count("*").alias("n"), F.max("total").alias("total"))
+
+
+def postings(documents: DataFrame, key: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(key, term, n, tf): term frequencies, tf the share of the document's terms; see ``counted``."""
+    return counted(documents, key, text).select(key, "term", "n", (F.col("n") / F.col("total")).alias("tf"))
 
 
 def inverse_frequency(posted: DataFrame, documents: int) -> DataFrame:

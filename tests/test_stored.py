@@ -42,3 +42,18 @@ def test_empty(spark, tmp_path):
     stored.build(df, stored.note_fields(df), str(tmp_path))
     own = stored.open_index(spark, str(tmp_path))
     assert own.bm25("cache").count() == 0 == own.cosine("cache").count()
+
+
+def test_postings_are_kept_in_blocks(spark, tmp_path):
+    """A term stands once for many documents, and the postings are those of the columns."""
+    odd = ["ab", "cd", "", "the", "x", "\u0130z \u212aelvin ca\u00dfe", "tab\tline\x0bfeed\u2028ends", "1a 22 1a", "a-b_cc.dd", None, "of"]
+    rows = [(i, odd[i]) for i in range(len(odd))] + [(i, f"alpha beta {'gamma ' * (i % 3)}note-{i}") for i in range(100, 500)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(2)
+    stored.build(df, df.select("doc_id"), str(tmp_path))
+    own = stored.open_index(spark, str(tmp_path))
+    blocks = own.table("postings").where("bucket >= 0")
+    posted = {(r.doc_id, r.term, r.n, r.tf) for r in index.postings(df).collect()}
+    assert {(k, r.term, n, n / t) for r in blocks.collect() for k, n, t in zip(r.key, r.n, r.total, strict=True)} == posted
+    assert blocks.where("term in ('alpha', 'beta', 'gamma', 'note')").count() <= 8
+    assert own.table("terms").agg({"df": "sum"}).head()[0] == len(posted)
+    assert {(r.doc_id, r.dl) for r in index.lengths(index.postings(df)).collect()} == {(k, d) for r in own.table("postings").where("bucket = -1").collect() for k, d in zip(r.key, r.dl, strict=True)}
