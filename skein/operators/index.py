@@ -122,9 +122,12 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, similarity) of the k vectors nearest to the one of ``query`` (one row, column q), exactly; ties by key."""
+    """(key, similarity) of the k vectors nearest to the one of ``query`` (one row, column q), exactly.
+
+    Similarities are compared by nine digits, ties by key.
+    """
     scored = vectors.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(query)).select(key, cosine(F.col(vector), F.col("q")).alias("similarity"))
-    return scored.where("similarity is not null").orderBy(F.desc("similarity"), key).limit(k)
+    return scored.where("similarity is not null").orderBy(F.desc(F.round("similarity", 9)), key).limit(k)
 
 
 #: Query vectors sent to the tasks at once, and vectors compared with them at once.
@@ -200,7 +203,7 @@ def _nearest(shared, k: int, key: str):
 
 
 def fuse(lexical: DataFrame, near: DataFrame, k: int, weight: float = 0.3, key: str = "doc_id") -> DataFrame:
-    """(key, score): lexical and vector scores, each divided by its greatest, weighted and added; the k best, ties by key.
+    """(key, score): lexical and vector scores, each divided by its greatest, weighted and added; the k best by eight digits, ties by key.
 
     near has (key, similarity); a similarity s counts as 1 / (2 - s). Without vectors the greatest score is 1 - weight.
     """
@@ -208,7 +211,7 @@ def fuse(lexical: DataFrame, near: DataFrame, k: int, weight: float = 0.3, key:
     top_score, top_close = lexical.agg(F.max("score").alias("ms")), close.agg(F.max("close").alias("mc"))
     both = lexical.join(close, key, "full").crossJoin(F.broadcast(top_score)).crossJoin(F.broadcast(top_close))  # one row each
     part = lambda x, m: F.coalesce(F.try_divide(F.col(x), F.col(m)), F.lit(0.0))
-    return both.select(key, (part("score", "ms") * (1 - weight) + part("close", "mc") * weight).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return both.select(key, (part("score", "ms") * (1 - weight) + part("close", "mc") * weight).alias("score")).orderBy(F.desc(F.round("score", 8)), key).limit(k)
 
 
 def to_index(notes: DataFrame, indexed: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -89,6 +89,15 @@ def test_vectors_and_fusion(spark):
     assert [round(r.score, 2) for r in index.fuse(lexical, near.limit(0), 1).collect()] == [0.7]
 
 
+def test_scores_that_differ_by_rounding_are_ties(spark):
+    """Last digits depend on the order of the sums; the order of results doesn't."""
+    lexical = spark.createDataFrame([(9, 2.0), (3, 2.0 - 1e-12), (4, 1.0)], "doc_id INT, score DOUBLE")
+    near = spark.createDataFrame([], "doc_id INT, similarity DOUBLE")
+    assert [r.doc_id for r in index.fuse(lexical, near, 2).collect()] == [3, 9]
+    df = spark.createDataFrame([(5, [1.0, 0.0]), (2, [1.0, 1e-7]), (1, [0.0, 1.0])], "vec_id INT, embedding ARRAY<DOUBLE>")
+    assert [r.vec_id for r in index.nearest(df, spark.createDataFrame([([1.0, 0.0],)], "q ARRAY<DOUBLE>"), 2).collect()] == [2, 5]
+
+
 def test_context_fits_budget():
     results = [{"title": f"t{i}", "snippet": "x" * 1200} for i in range(60)]
     got = index.context(results, "q", budget=1000)
