@@ -57,3 +57,16 @@ def test_postings_are_kept_in_blocks(spark, tmp_path):
     assert blocks.where("term in ('alpha', 'beta', 'gamma', 'note')").count() <= 8
     assert own.table("terms").agg({"df": "sum"}).head()[0] == len(posted)
     assert {(r.doc_id, r.dl) for r in index.lengths(index.postings(df)).collect()} == {(k, d) for r in own.table("postings").where("bucket = -1").collect() for k, d in zip(r.key, r.dl, strict=True)}
+
+
+@pytest.mark.parametrize("name", ["index_stored", "bm25_top"])
+def test_repeated_and_null_keys_count_as_in_sql(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from skein.plans.queries import QUERIES, SQL
+
+    texts = [(1, "prompt cache and schema schema"), (1, "prompt validator"), (2, "cache"), (None, "stale bridge of many other long words, each once"), (None, "stale cache"), (3, None), (3, "schema keeps"), (4, ""), (5, "stale finder bridge")]
+    rows = [(k, t, None, "p") for k, t in texts]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, note_type STRING, path STRING").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+        assert [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()] == c.execute(SQL[name]).fetchall()
